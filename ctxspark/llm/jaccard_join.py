@@ -6,8 +6,9 @@
    group of thousands of near copies costs a few links each, not all pairs.
 3. Completeness: under the first order (rare tokens first, then hash) two sets with Jaccard >= 0.75
    must share a token of their prefixes of n - ceil(0.75 n) + 1 tokens. Pairs across components that
-   share one are candidates; they must also share prefix tokens under every other order; what is
-   left is verified exactly. Any order is correct, so an approximate frequency sketch is enough.
+   share one are candidates; their parity bitmaps (set bits of the exclusive or never exceed the
+   symmetric difference) must allow a link, they must share prefix tokens under every other order
+   too, and what is left is verified exactly. Any order is correct, so an approximate frequency sketch is enough.
 4. Connected components over the verified links.
 
 Tokens are 64-bit hashes; packed sets keep 48 bits of each.
@@ -30,6 +31,9 @@ NUM, DEN = 75, 100
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 ORDERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 SKETCH_BITS = 18
+PARITY_BITS = 2048
+#: Seeds whose buckets are linked in one round; a round skips what earlier ones have joined.
+STAR_ROUNDS = ((0,), (1, 2, 3))
 #: Up to so many class keys (8 bytes each) a set of keys is broadcast to prune a scan; above, it is a shuffled join.
 BROADCAST_KEYS = 500_000
 SLICE_ROWS = 1024
@@ -37,7 +41,7 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 ROW = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("k", T.LongType())]
     + [T.StructField(f"m{i}", T.LongType()) for i in range(len(SEEDS))]
-    + [T.StructField("packed", T.BinaryType()), T.StructField("counts", T.ArrayType(T.IntegerType()))]
+    + [T.StructField("packed", T.BinaryType()), T.StructField("bits", T.BinaryType()), T.StructField("counts", T.ArrayType(T.IntegerType()))]
 )
 
 
@@ -86,6 +90,11 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """For each of PARITY_BITS remainders, whether an odd number of tokens has it."""
+    return np.packbits(np.bincount((tokens % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1).tobytes()
+
+
 def order_keys(tokens: np.ndarray, levels: np.ndarray, seed: int) -> np.ndarray:
     """The global order of a seed: rarer level first, then hash."""
     level = levels[(tokens >> np.uint64(48 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
@@ -104,7 +113,7 @@ def prefix(tokens: np.ndarray, n: int, levels: np.ndarray, seed: int) -> np.ndar
 def _scan(batches):
     hashes, seen = WordHashes(), set()
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    schema = pa.schema([(f.name, pa.int64()) for f in ROW.fields[:-2]] + [("packed", pa.binary()), ("counts", pa.list_(pa.int32()))])
+    schema = pa.schema([(f.name, pa.int64()) for f in ROW.fields[:-3]] + [("packed", pa.binary()), ("bits", pa.binary()), ("counts", pa.list_(pa.int32()))])
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             part = batch.slice(at, SLICE_ROWS)
@@ -112,26 +121,26 @@ def _scan(batches):
             for text in part.column(1).cast(pa.binary()).to_pylist():
                 s = shingle_set(text, hashes)
                 if not len(s):
-                    rows.append((0, 0, *[0] * len(SEEDS), None))
+                    rows.append((0, 0, *[0] * len(SEEDS), None, None))
                     continue
                 tokens.append(s)
                 with np.errstate(over="ignore"):
                     key = int((mix(s * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64))
                     low = [int(mix(s * np.uint64(x)).min().astype(np.int64)) for x in SEEDS]
-                packed = None
+                packed = bits = None
                 if key not in seen:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(key)
-                    packed = pack(s)
-                rows.append((len(s), key, *low, packed))
+                    packed, bits = pack(s), parity(s)
+                rows.append((len(s), key, *low, packed, bits))
             if tokens:
                 counts += np.bincount((np.concatenate(tokens) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.int64()) for c in cols[:-1]], pa.array(cols[-1], pa.binary()), pa.nulls(len(rows), pa.list_(pa.int32()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.int64()) for c in cols[:-2]], *[pa.array(c, pa.binary()) for c in cols[-2:]], pa.nulls(len(rows), pa.list_(pa.int32()))], schema=schema)
     for at in range(0, len(counts), 4096):
         row = pa.array([counts[at : at + 4096].clip(0, 2**31 - 1).tolist()], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([-1], pa.int64()), *[pa.array([0], pa.int64())] * (1 + len(SEEDS)), pa.array([None], pa.binary()), row], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([-1], pa.int64()), *[pa.array([0], pa.int64())] * (1 + len(SEEDS)), *[pa.array([None], pa.binary())] * 2, row], schema=schema)
 
 
 def _postings(levels: np.ndarray):
@@ -167,15 +176,30 @@ def _verify(levels: np.ndarray | None):
     return run
 
 
+def _may_link(batches):
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
+        n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+        least = -(-NUM * n // (NUM + DEN))
+        keep = np.bitwise_count(x ^ y).sum(axis=1) <= n - 2 * least
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+
+
 def _pair_links(pairs: DataFrame, sets: DataFrame, levels: np.ndarray | None, scratch: Scratch) -> DataFrame:
     """Those of pairs (a, b: class keys) that are links."""
-    keys = scratch.keep(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), "keys")
-    few = keys.count() <= BROADCAST_KEYS
-    own = sets.join(F.broadcast(keys) if few else keys, "k", "left_semi").dropDuplicates(["k"])
-    got = pairs.join(own.select(F.col("k").alias("a"), F.col("n").alias("n_a"), F.col("packed").alias("packed_a")), "a")
-    got = got.join(own.select(F.col("k").alias("b"), F.col("n").alias("n_b"), F.col("packed").alias("packed_b")), "b")
-    out = scratch.keep(got.select("a", "b", "n_a", "n_b", "packed_a", "packed_b").mapInArrow(_verify(levels), "a long, b long"), "links")
-    scratch.drop(keys)
+
+    def with_both(pairs: DataFrame, column: str) -> DataFrame:
+        keys = scratch.keep(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), "keys")
+        few = keys.count() <= BROADCAST_KEYS
+        own = sets.select("k", "n", column).join(F.broadcast(keys) if few else keys, "k", "left_semi").dropDuplicates(["k"])
+        for side in "ab":
+            pairs = pairs.join(own.select(*[F.col(c).alias(f"{c if c != 'k' else ''}{'_' if c != 'k' else ''}{side}") for c in ("k", "n", column)]), side)
+        return pairs.select("a", "b", "n_a", "n_b", f"{column}_a", f"{column}_b")
+
+    likely = scratch.keep(with_both(pairs, "bits").mapInArrow(_may_link, "a long, b long"), "likely")
+    out = scratch.keep(with_both(likely, "packed").mapInArrow(_verify(levels), "a long, b long"), "links")
+    scratch.drop(likely)
+    free_shuffles(pairs.sparkSession)
     return out
 
 
@@ -201,17 +225,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for row in count.where("c > 0").toLocalIterator():
             levels[row[0]] = int(row[1]).bit_length()
         rows = found.where("n > 0")
-        sets = rows.where("packed is not null").select("k", "n", "packed")
+        sets = rows.where("packed is not null").select("k", "n", "packed", "bits")
         classes = scratch.keep(rows.groupBy("k").agg(F.min("n").alias("n"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(len(SEEDS))]), "classes")
-        minima = classes.select("k", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("o"), F.col(f"m{i}").alias("m")) for i in range(len(SEEDS))])).alias("x")).select("k", "n", "x.o", "x.m")
-        low = minima.groupBy("o", "m").agg(F.min(F.struct("k", "n")).alias("rep"), F.count(F.lit(1)).alias("many")).where("many > 1")
-        stars = minima.join(low, ["o", "m"]).where(F.col("k") != F.col("rep.k")).where(fits("n", "rep.n"))
-        stars = scratch.keep(stars.select(F.col("rep.k").alias("a"), F.col("k").alias("b")).distinct(), "stars")
-        star_links = _pair_links(stars, sets, None, scratch)
-        scratch.drop(stars)
-        groups = scratch.keep(components(star_links, scratch), "groups")
+        links = groups = None
+        for seeds in STAR_ROUNDS:
+            minima = classes.select("k", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("o"), F.col(f"m{i}").alias("m")) for i in seeds])).alias("x")).select("k", "n", "x.o", "x.m")
+            if groups is not None:
+                minima = minima.join(groups.withColumnRenamed("node", "k"), "k", "left")
+            minima = minima.withColumn("comp", F.coalesce("comp", "k") if groups is not None else F.col("k"))
+            low = minima.groupBy("o", "m").agg(F.min(F.struct("k", "n", "comp")).alias("rep"), F.count(F.lit(1)).alias("many")).where("many > 1")
+            stars = minima.join(low, ["o", "m"]).where(F.col("comp") != F.col("rep.comp")).where(fits("n", "rep.n"))
+            stars = scratch.keep(stars.select(F.col("rep.k").alias("a"), F.col("k").alias("b")).distinct(), "stars")
+            found_links = _pair_links(stars, sets, None, scratch)
+            links = found_links if links is None else links.union(found_links)
+            groups = scratch.keep(components(links, scratch), "groups")
         by_token = Window.partitionBy("token")
-        posts = sets.mapInArrow(_postings(levels), "token long, k long, n long")
+        posts = sets.drop("bits").mapInArrow(_postings(levels), "token long, k long, n long")
         shared = posts.withColumns({"lo": F.min("k").over(by_token), "hi": F.max("k").over(by_token)}).where("lo < hi").select("token", "k", "n")
         shared = scratch.keep(shared, "shared")
         free_shuffles(spark)
@@ -221,7 +250,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         x, y = (placed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("k", "n", "comp")]) for s in "ab")
         pairs = x.join(y, "token").where("k_a < k_b and comp_a <> comp_b").where(fits("n_a", "n_b")).select(F.col("k_a").alias("a"), F.col("k_b").alias("b")).distinct()
         more = _pair_links(scratch.keep(pairs, "pairs"), sets, levels, scratch)
-        ends = scratch.keep(components(star_links.union(more), scratch), "ends")
+        ends = scratch.keep(components(links.union(more), scratch), "ends")
         named = rows.select("doc_id", "n", "k").join(ends.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
         named = scratch.keep(named.select("doc_id", "n", "comp"), "named")
         first = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

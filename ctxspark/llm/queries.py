@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .jaccard_join import jaccard_components
+from .quality import fit as fit_quality
+from .quality import score_quality
 from .toxicity import fit as fit_toxicity
 from .toxicity import score_toxicity
 
@@ -15,6 +17,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    score = F.col("quality")
+    return score_quality(docs, model).select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, _table(spark, sf_dir, "labels"))
@@ -34,6 +44,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_quality_crf,
         op2_toxicity_segments,
         op9_ngram_jaccard_join,
         op10_benchmark_decontamination,
