@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .fingerprint import fingerprints
 from .jaccard_join import jaccard_components
 from .quality import fit as fit_quality
 from .quality import score_quality
 from .toxicity import fit as fit_toxicity
 from .toxicity import score_toxicity
+from .url_rules import judge
+
+#: Written URL rules of op5: host, path, verdict.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +38,19 @@ def op2_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document whose number ends its path: that document's label marks its url."""
+    pages = _table(spark, sf_dir, "pages")
+    bad = _table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    number = F.regexp_extract("url", r"(?s)^.*?://[^?#]*/([0-9]{1,18})(?:/|\.html)?(?:[?#]|$)", 1)
+    shown = pages.select("url", number.alias("number")).select("url", F.expr("try_cast(number as bigint)").alias("doc_id"))
+    return judge(pages, shown.join(bad, "doc_id").select("url", "bad"), URL_RULES).drop("mined")
+
+
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +64,8 @@ QUERIES = {
     for f in (
         op1_quality_crf,
         op2_toxicity_segments,
+        op5_url_rules,
+        op6_document_fingerprints,
         op9_ngram_jaccard_join,
         op10_benchmark_decontamination,
     )
