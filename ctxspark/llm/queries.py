@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination
 from .fingerprint import fingerprints
 from .jaccard_join import jaccard_components
+from .line_dedup import dedup_lines
 from .quality import fit as fit_quality
 from .quality import score_quality
 from .toxicity import fit as fit_toxicity
@@ -38,6 +39,11 @@ def op2_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", "text")
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page shows the document whose number ends its path: that document's label marks its url."""
     pages = _table(spark, sf_dir, "pages")
@@ -64,6 +70,7 @@ QUERIES = {
     for f in (
         op1_quality_crf,
         op2_toxicity_segments,
+        op4_line_dedup,
         op5_url_rules,
         op6_document_fingerprints,
         op9_ngram_jaccard_join,
