@@ -5,10 +5,11 @@
 2. Star links: classes that share a minimum are compared with that bucket's smallest class only, so a
    group of thousands of near copies costs a few links each, not all pairs.
 3. Completeness: under the first order (rare tokens first, then hash) two sets with Jaccard >= 0.75
-   must share a token of their prefixes of n - ceil(0.75 n) + 1 tokens. Pairs across components that
-   share one are candidates; their parity bitmaps (set bits of the exclusive or never exceed the
-   symmetric difference) must allow a link, they must share prefix tokens under every other order
-   too, and what is left is verified exactly. Any order is correct, so an approximate frequency sketch is enough.
+   must share m tokens of their prefixes of n - ceil(0.75 n) + m tokens, for any m; m grows with n, so
+   that long documents which share a few tokens by chance are no candidates. For pairs across
+   components that share as many, parity bitmaps (set bits of the exclusive or never exceed the
+   symmetric difference) must allow a link, they must share as many prefix tokens under every other
+   order, and what is left is verified exactly. Any order is correct, so an approximate frequency sketch is enough.
 4. Connected components over the verified links.
 
 Tokens are 64-bit hashes; packed sets keep 48 bits of each.
@@ -101,8 +102,13 @@ def order_keys(tokens: np.ndarray, levels: np.ndarray, seed: int) -> np.ndarray:
     return (level << np.uint64(58)) | (mix(tokens * np.uint64(seed)) >> np.uint64(6))
 
 
+def must_share(n: int) -> int:
+    """Prefix tokens that a set of n shares with any set it is linked with (the smaller of both counts)."""
+    return 1 + n // 64
+
+
 def prefix_length(n: int) -> int:
-    return n - -(-NUM * n // DEN) + 1
+    return n - -(-NUM * n // DEN) + must_share(n)
 
 
 def prefix(tokens: np.ndarray, n: int, levels: np.ndarray, seed: int) -> np.ndarray:
@@ -160,7 +166,7 @@ def linked(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, levels: np.ndarray
     """Filters under the other orders, then the exact test."""
     if levels is not None:
         for seed in ORDERS[1:]:
-            if not len(np.intersect1d(prefix(a, n_a, levels, seed), prefix(b, n_b, levels, seed))):
+            if len(np.intersect1d(prefix(a, n_a, levels, seed), prefix(b, n_b, levels, seed))) < min(must_share(n_a), must_share(n_b)):
                 return False
     both = len(np.intersect1d(a, b))
     return DEN * both >= NUM * (n_a + n_b - both)
@@ -248,7 +254,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
         placed = scratch.keep(placed.join(mixed, "token", "left_semi"), "placed")
         x, y = (placed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("k", "n", "comp")]) for s in "ab")
-        pairs = x.join(y, "token").where("k_a < k_b and comp_a <> comp_b").where(fits("n_a", "n_b")).select(F.col("k_a").alias("a"), F.col("k_b").alias("b")).distinct()
+        pairs = x.join(y, "token").where("k_a < k_b and comp_a <> comp_b").where(fits("n_a", "n_b"))
+        least = F.lit(1) + F.floor(F.least(F.min("n_a"), F.min("n_b")) / 64)
+        pairs = pairs.groupBy(F.col("k_a").alias("a"), F.col("k_b").alias("b")).agg((F.count(F.lit(1)) >= least).alias("enough")).where("enough").select("a", "b")
         more = _pair_links(scratch.keep(pairs, "pairs"), sets, levels, scratch)
         ends = scratch.keep(components(links.union(more), scratch), "ends")
         named = rows.select("doc_id", "n", "k").join(ends.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
@@ -256,3 +264,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         first = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         out = named.join(first, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         return scratch.result(out.union(found.where("n = 0").select("doc_id", "n", "doc_id")), "components")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id is the smallest of their component.
+
+    Texts without words are linked with nothing and stay; so do rows with a null doc_id. Rows that share
+    a doc_id are one document and stay or go together.
+    """
+    cols = docs.columns
+    ids = F.col("doc_id").cast("long")
+    found = jaccard_components(docs).where("doc_id is not null and n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
+    framed = docs.select(F.struct(*[docs[c] for c in cols]).alias("row"), ids.alias("doc_id"))
+    return framed.join(found, "doc_id", "left_anti").select("row.*")

@@ -11,6 +11,8 @@ from .jaccard_join import jaccard_components
 from .line_dedup import dedup_lines
 from .quality import fit as fit_quality
 from .quality import score_quality
+from .sentencepiece_sa import encode as sp_encode
+from .sentencepiece_sa import load as sp_load
 from .toxicity import fit as fit_toxicity
 from .toxicity import score_toxicity
 from .url_rules import judge
@@ -18,6 +20,9 @@ from .url_rules import judge
 #: Written URL rules of op5: host, path, verdict.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
+#: SentencePiece model that op7 and the pipeline encode with, unless they are given another.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -57,6 +62,11 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECE_MODEL) -> DataFrame:
+    out = sp_encode(_table(spark, sf_dir, "documents"), sp_load(model_file))
+    return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +75,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_near_items")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,8 +89,10 @@ QUERIES = {
         op4_line_dedup,
         op5_url_rules,
         op6_document_fingerprints,
+        op7_sentencepiece,
         op9_ngram_jaccard_join,
         op10_benchmark_decontamination,
+        pipeline,
     )
 }
 
