@@ -9,6 +9,8 @@ from .decontaminate import contamination
 from .fingerprint import fingerprints
 from .jaccard_join import jaccard_components
 from .line_dedup import dedup_lines
+from .masked_lm import fit as fit_masked
+from .masked_lm import score as score_masked
 from .quality import fit as fit_quality
 from .quality import score_quality
 from .sentencepiece_sa import encode as sp_encode
@@ -44,6 +46,11 @@ def op2_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_masked(docs, fit_masked(docs))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", "text")
@@ -86,6 +93,7 @@ QUERIES = {
     for f in (
         op1_quality_crf,
         op2_toxicity_segments,
+        op3_masked_lm,
         op4_line_dedup,
         op5_url_rules,
         op6_document_fingerprints,
