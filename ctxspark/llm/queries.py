@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination
 from .fingerprint import fingerprints
 from .jaccard_join import jaccard_components
+from .license_scan import document_licenses
 from .line_dedup import dedup_lines
 from .masked_lm import fit as fit_masked
 from .masked_lm import score as score_masked
@@ -74,6 +75,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECE_
     return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -98,6 +103,7 @@ QUERIES = {
         op5_url_rules,
         op6_document_fingerprints,
         op7_sentencepiece,
+        op8_license_scan,
         op9_ngram_jaccard_join,
         op10_benchmark_decontamination,
         pipeline,
