@@ -2,5 +2,404 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from .functions import masking, paths, text
+from .operators import bm25, graph, hybrid, memory, vectors
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- ranking
+
+SEARCH_TEXT = "the then erthhand para que oulyan einander nicht"
+
+TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^a-zA-Z0-9_$]+'), lambda x: x <> '')"
+
+BM25_CTES = f"""
+d AS (SELECT doc_id AS id, {TOKENS.format('text')} AS tokens FROM documents),
+s AS (SELECT count(*)::DOUBLE AS n, sum(len(tokens))::DOUBLE / count(*) AS avgdl FROM d),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(tokens)) AS term FROM d) GROUP BY term),
+raw AS (SELECT term, df, ln(s.n - df + 0.5) - ln(df + 0.5) AS idf FROM df, s),
+idf AS (SELECT term, df, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
+asked AS (SELECT DISTINCT query_id, unnest({TOKENS.format('text')}) AS term FROM q),
+tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(tokens) AS dl, unnest(tokens) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY id, dl, term),
+sc AS (SELECT query_id, id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM s)))) AS raw FROM tf JOIN idf USING (term) JOIN asked USING (term) GROUP BY query_id, id),
+nm AS (SELECT query_id, id, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score, raw, max(raw) OVER (PARTITION BY query_id) AS best FROM sc),
+bm AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM nm WHERE best > 0 AND raw > 0)"""
+
+
+@query(f"WITH q AS (SELECT 0::BIGINT AS query_id, '{SEARCH_TEXT}' AS text), {BM25_CTES} SELECT query_id, rank::INT AS rank, id, score FROM bm WHERE rank <= 20")
+def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = bm25.corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return bm25.search(corpus, spark.createDataFrame([(0, SEARCH_TEXT)], "query_id long, text string"), 20)
+
+
+@query(f"WITH q AS (SELECT item_id AS query_id, text FROM benchmark), {BM25_CTES} SELECT query_id, rank::INT AS rank, id, score FROM bm WHERE rank <= 10")
+def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = bm25.corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return bm25.search(corpus, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+
+
+@query(f"""WITH q AS (SELECT 0 AS query_id, 'x' AS text), {BM25_CTES},
+cf AS (SELECT term, count(*) AS cf FROM (SELECT unnest(tokens) AS term FROM d) GROUP BY term)
+SELECT term, df, cf, round(idf, 6) AS idf FROM idf JOIN cf USING (term)""")
+def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = bm25.corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+    n = corpus.count()
+    return bm25.term_stats(corpus).join(bm25.inverse_frequencies(corpus, n).drop("df"), "term").select("term", "df", "cf", F.round("idf", 6).alias("idf"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    row = _vectors(spark, sf_dir).where("id = 7").select("embedding").first()
+    return [float(x) for x in row[0]] if row else [0.0] * 64
+
+
+DOT = "list_inner_product(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7))"
+
+
+@query(f"SELECT row_number() OVER (ORDER BY score DESC, id)::INT AS rank, id, score FROM (SELECT vec_id AS id, round(least(1, greatest(0, {DOT})), 6) AS score FROM embeddings e) ORDER BY score DESC, id LIMIT 10")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.topk(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 10)
+
+
+@query(f"SELECT row_number() OVER (ORDER BY score DESC, id)::INT AS rank, id, score FROM (SELECT vec_id AS id, round(least(1, greatest(0, {DOT})), 6) AS score FROM embeddings e WHERE label = 3) ORDER BY score DESC, id LIMIT 10")
+def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.topk(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 10, F.col("label") == 3)
+
+
+@query(f"""WITH t AS (SELECT vec_id AS id, label, round(least(1, greatest(0, {DOT})), 6) AS score FROM embeddings e ORDER BY score DESC, id LIMIT 50)
+SELECT id, score FROM t WHERE label = 3 ORDER BY score DESC, id LIMIT 10""")
+def vector_overfetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.overfetch(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 10, F.col("label") == 3).select("id", "score")
+
+
+@query("""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, rank::INT AS rank, id, score FROM r WHERE rank <= 10""")
+def vector_knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _vectors(spark, sf_dir)
+    return vectors.knn(own, own.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), 10)
+
+
+@query("SELECT vec_id AS id, embedding::DOUBLE[] AS embedding FROM embeddings WHERE vec_id = 42")
+def vector_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).where("id = 42").select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+@query(f"""WITH q AS (SELECT 0::BIGINT AS query_id, '{SEARCH_TEXT}' AS text), {BM25_CTES},
+sem AS (SELECT vec_id AS id, round(least(1, greatest(0, {DOT})), 6) AS score FROM embeddings e ORDER BY score DESC, id LIMIT 50),
+sy AS (SELECT doc_id AS id, least(1.0, 0.5 * count(*)) AS score FROM documents JOIN (SELECT DISTINCT source FROM documents WHERE source ILIKE '%src1%' ORDER BY source LIMIT 10) USING (source) GROUP BY doc_id),
+u AS (SELECT id, score AS semantic, NULL::DOUBLE AS bm25, NULL::DOUBLE AS symbol FROM sem UNION ALL SELECT id, NULL, score, NULL FROM bm WHERE rank <= 50 UNION ALL SELECT id, NULL, NULL, score FROM sy),
+g AS (SELECT id, coalesce(max(semantic), 0) AS semantic, coalesce(max(bm25), 0) AS bm25, coalesce(max(symbol), 0)::DOUBLE AS symbol FROM u GROUP BY id),
+f AS (SELECT *, round(semantic * 0.5 + bm25 * 0.2 + symbol * 0.2, 6) AS score FROM g)
+SELECT 0::BIGINT AS query_id, row_number() OVER (ORDER BY score DESC, id)::INT AS rank, id, score, semantic, bm25, symbol, 0.0::DOUBLE AS graph FROM f WHERE score >= 0.05 ORDER BY score DESC, id LIMIT 10""")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    n = hybrid.candidates(10)
+    sem = vectors.topk(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), n).select(F.lit(0).cast("long").alias("query_id"), "id", "score")
+    bm = bm25.search(bm25.corpus(docs, "doc_id", "text"), spark.createDataFrame([(0, SEARCH_TEXT)], "query_id long, text string"), n)
+    symbols = docs.select(F.col("source").alias("symbol_id"), F.col("source").alias("name"), F.col("source").alias("file")).distinct()
+    sy = hybrid.symbol_leg(spark.createDataFrame([(0, "src1")], "query_id long, text string"), symbols, docs.select(F.col("doc_id").alias("id"), F.col("source").alias("file")))
+    return hybrid.fuse({"semantic": sem, "bm25": bm, "symbol": sy})
+
+
+# ---------------------------------------------------------------- text functions
+
+def _sql_mask(upto: int | None = None) -> str:
+    out = "text"
+    for _, pattern, placeholder in masking.enabled_rules()[:upto]:
+        out = f"regexp_replace({out}, '(?i){pattern.replace(chr(39), chr(39) * 2)}', '{placeholder}', 'g')"
+    return out
+
+
+def _sql_count(i: int) -> str:
+    pattern = masking.enabled_rules()[i][1].replace("'", "''")
+    return f"len(regexp_extract_all({_sql_mask(i) if i else 'text'}, '(?i){pattern}'))"
+
+
+_RULES = [r[0] for r in masking.enabled_rules()]
+
+
+@query(f"SELECT doc_id, {_sql_mask()} AS masked FROM documents")
+def pii_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", masking.mask(F.col("text")).alias("masked"))
+
+
+@query("SELECT doc_id, " + ", ".join(f"{_sql_count(i)}::BIGINT AS {name}" for i, name in enumerate(_RULES)) + ", 0::BIGINT AS ips, (" + " + ".join(_sql_count(i) for i in range(len(_RULES))) + ")::BIGINT AS total FROM documents")
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = masking.mask_counts(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", *[c.cast("long").alias(n) for n, c in counts.items()])
+
+
+@query("SELECT " + ", ".join(f"sum({_sql_count(i)})::BIGINT AS {name}" for i, name in enumerate(_RULES)) + " FROM documents")
+def pii_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = masking.mask_counts(F.col("text"))
+    return table(spark, sf_dir, "documents").agg(*[F.sum(counts[n]).cast("long").alias(n) for n in _RULES])
+
+
+@query("SELECT doc_id FROM documents WHERE " + " OR ".join(f"regexp_matches(text, '(?i){r[1].replace(chr(39), chr(39) * 2)}')" for r in masking.enabled_rules()))
+def pii_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where(masking.contains_pii(F.col("text"))).select("doc_id")
+
+
+@query("SELECT doc_id, greatest(1, length(text) // 4)::INT AS token_count, (len(string_split(text, chr(10))))::INT AS line_count, md5(text) AS hash FROM documents")
+def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.token_count(t).alias("token_count"), text.line_count(t).alias("line_count"), text.content_hash(t).alias("hash"))
+
+
+UUID5 = "concat_ws('-', d[1:8], d[9:12], '5' || d[14:16], substr('89ab', (('0x' || d[17:17])::INT % 4) + 1, 1) || d[18:20], d[21:32])"
+
+
+@query(f"SELECT page_id, {UUID5} AS id FROM (SELECT page_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS d FROM pages)")
+def uuid5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.uuid5(F.col("url")).alias("id"))
+
+
+@query("""SELECT doc_id, md5(m) AS hash, greatest(1, length(c) // 4)::INT AS token_count FROM (SELECT doc_id, c, """ + _sql_mask().replace("text", "c", 1).replace("(text,", "(c,") + """ AS m FROM
+(SELECT doc_id, '// File: ' || source || chr(10) || '// Symbol: ' || lang || chr(10) || chr(10) || text AS c FROM documents))""")
+def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = text.context_header(F.col("text"), F.col("source"), F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.content_hash(masking.mask(made)).alias("hash"), text.token_count(made).alias("token_count"))
+
+
+@query("SELECT page_id, CASE WHEN lower(regexp_extract(p, '[^/](\\.[^./]*)$', 1)) IN ('.html', '.htm') THEN 'html' ELSE 'unknown' END AS language FROM (SELECT page_id, regexp_extract(url, '://[^/?#]*/([^?#]*)', 1) AS p FROM pages)")
+def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_extract("url", "://[^/?#]*/([^?#]*)", 1)
+    return table(spark, sf_dir, "pages").select("page_id", paths.language_of(path).alias("language"))
+
+
+@query("SELECT page_id FROM pages WHERE regexp_matches(regexp_extract(url, '://[^/?#]*/([^?#]*)', 1), '^en/(.*/)?[^/]*[0-9]\\.html(/.*)?$')")
+def path_glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_extract("url", "://[^/?#]*/([^?#]*)", 1)
+    return table(spark, sf_dir, "pages").where(paths.glob_match(path, "en/**/*[0-9].html")).select("page_id")
+
+
+# ---------------------------------------------------------------- state and counts
+
+@query("SELECT lang, count(*) AS files FROM documents GROUP BY lang")
+def language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM pages) AS symbols, (SELECT count(*) FROM conversations) AS memories, (SELECT count(*) FROM embeddings) AS vectors, (SELECT string_agg(lang || '=' || n, ',' ORDER BY lang) FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)) AS languages")
+def architecture_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda name, alias: table(spark, sf_dir, name).agg(F.count(F.lit(1)).alias(alias))
+    per = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = per.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lang", "n"))), lambda x: F.concat(x.lang, F.lit("="), x.n)), ",").alias("languages"))
+    return one("documents", "files").join(one("pages", "symbols")).join(one("conversations", "memories")).join(one("embeddings", "vectors")).join(languages)
+
+
+CHANGED = """k AS (SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN text || 'x' ELSE text END) AS hash FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT doc_id + 1000000000, md5(text) FROM documents WHERE doc_id % 13 = 0)"""
+
+
+@query(f"""WITH {CHANGED} SELECT coalesce(d.doc_id, k.doc_id) AS doc_id, CASE WHEN k.hash IS NULL THEN 'new' WHEN d.text IS NULL THEN 'deleted' WHEN k.hash = md5(d.text) THEN 'unchanged' ELSE 'modified' END AS status FROM documents d FULL JOIN k ON k.doc_id = d.doc_id""")
+def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against known hashes: a tenth is unknown, a seventh has another text, some are gone."""
+    from .sources.store import changes
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    old = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    known = docs.where("doc_id % 10 <> 0").select("doc_id", text.content_hash(old).alias("hash")).union(docs.where("doc_id % 13 = 0").select(F.col("doc_id") + 1_000_000_000, text.content_hash(F.col("text"))))
+    return changes(docs.select("doc_id", text.content_hash(F.col("text")).alias("hash")), known, "doc_id")
+
+
+@query("SELECT md5(text) AS id, max(doc_id) AS doc_id, arg_max(source, doc_id) AS source FROM documents GROUP BY text")
+def dedupe_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(text.content_hash(F.col("text")).alias("id"), "doc_id", "source")
+    return graph.last_wins(rows, "id", "doc_id")
+
+
+@query("SELECT p_partkey, p_name, p_type FROM part WHERE lower(p_name) LIKE '%re%' AND p_size <= 10 ORDER BY p_name, p_partkey LIMIT 20")
+def symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "part").where(text.like_any_case(F.col("p_name"), F.lit("RE"))).where("p_size <= 10")
+    return found.orderBy("p_name", "p_partkey").limit(20).select("p_partkey", "p_name", "p_type")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS changed_at FROM orders WHERE o_orderdate IS NOT NULL ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
+def recent_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").where("o_orderdate is not null").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20)
+    return rows.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("changed_at"))
+
+
+@query("SELECT c.doc_id, c.doc_id IN (SELECT vec_id FROM embeddings) AS is_embedded FROM documents c")
+def embedded_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("is_embedded")).distinct()
+    return table(spark, sf_dir, "documents").select("doc_id").join(done, "doc_id", "left").withColumn("is_embedded", F.coalesce("is_embedded", F.lit(False)))
+
+
+@query("SELECT d.doc_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)")
+def pending_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id", "source")
+
+
+# ---------------------------------------------------------------- graph
+
+EDGES_SQL = """e AS (
+SELECT DISTINCT 'l' || l_orderkey AS src, 'p' || l_partkey AS dst, 'calls' AS type FROM lineitem
+UNION SELECT 'l' || l_orderkey, 's' || l_suppkey, 'uses' FROM lineitem
+UNION SELECT 'l' || o_orderkey, 'c' || o_custkey, 'injects' FROM orders
+UNION SELECT 'c' || c_custkey, 'n' || c_nationkey, 'extends' FROM customer
+UNION SELECT 's' || s_suppkey, 'n' || s_nationkey, 'extends' FROM supplier
+UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'extends' FROM nation)"""
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Foreign keys as typed edges: orders (l) to parts, suppliers, customers; these to nations, regions."""
+    t = lambda n: table(spark, sf_dir, n)
+    edge = lambda df, a, x, b, y, kind: df.select(F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"), F.lit(kind).alias("type"), F.lit(1.0).alias("confidence"))
+    parts = [
+        edge(t("lineitem"), "l", "l_orderkey", "p", "l_partkey", "calls"),
+        edge(t("lineitem"), "l", "l_orderkey", "s", "l_suppkey", "uses"),
+        edge(t("orders"), "l", "o_orderkey", "c", "o_custkey", "injects"),
+        edge(t("customer"), "c", "c_custkey", "n", "c_nationkey", "extends"),
+        edge(t("supplier"), "s", "s_suppkey", "n", "s_nationkey", "extends"),
+        edge(t("nation"), "n", "n_nationkey", "r", "n_regionkey", "extends"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.distinct()
+
+
+def _reach_sql(edges: str, starts: str, depth: int) -> str:
+    levels = [f"WITH {EDGES_SQL}, g AS ({edges}), f0 AS ({starts}), v0 AS (SELECT node AS start, node FROM f0), l0 AS (SELECT * FROM v0)"]
+    for i in range(1, depth + 1):
+        levels.append(f"""l{i} AS (SELECT start, dst AS node, min(struct_pack(src := src, type := type)) AS via FROM l{i - 1} JOIN g ON g.src = l{i - 1}.node WHERE (start, dst) NOT IN (SELECT start, node FROM v{i - 1}) GROUP BY start, dst),
+v{i} AS (SELECT * FROM v{i - 1} UNION ALL SELECT start, node FROM l{i})""")
+    return ", ".join(levels) + " " + " UNION ALL ".join(f"SELECT start, node, {i} AS depth, via.type AS type, 1.0::DOUBLE AS confidence FROM l{i}" for i in range(1, depth + 1))
+
+
+@query(_reach_sql("SELECT src, dst, type FROM e", "SELECT 'l' || o_orderkey AS node FROM orders WHERE o_orderkey % 20 = 0", 3))
+def graph_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    starts = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.concat(F.lit("l"), "o_orderkey").alias("node"))
+    return graph.dependencies(_edges(spark, sf_dir), starts, 3)
+
+
+@query(_reach_sql("SELECT dst AS src, src AS dst, type FROM e", "SELECT 'p' || p_partkey AS node FROM part WHERE p_partkey % 20 = 0", 2))
+def graph_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    starts = table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("node"))
+    return graph.references(_edges(spark, sf_dir), starts, 2)
+
+
+@query("SELECT * FROM (" + _reach_sql("SELECT dst AS src, src AS dst, type FROM e", "SELECT 'p' || p_partkey AS node FROM part WHERE p_partkey % 20 = 0", 3) + ") WHERE type = 'calls'")
+def graph_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    starts = table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("node"))
+    return graph.callers(_edges(spark, sf_dir), starts)
+
+
+@query(f"""WITH {EDGES_SQL}, a AS (SELECT min(dst) AS n1 FROM (SELECT e1.dst FROM e e1 JOIN e e2 ON e1.dst = e2.src JOIN e e3 ON e2.dst = e3.src WHERE e1.src = 'l1' AND e3.dst = 'r1')),
+p AS (SELECT [e1.src, e1.dst, e2.dst, e3.dst] AS path FROM e e1 JOIN e e2 ON e1.dst = e2.src JOIN e e3 ON e2.dst = e3.src WHERE e1.src = 'l1' AND e3.dst = 'r1'), m AS (SELECT min(path) AS path FROM p)
+SELECT (i - 1)::INT AS step, path[i] AS node FROM m, unnest(range(1, 5)) AS t(i) WHERE path IS NOT NULL""")
+def graph_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.shortest_path(_edges(spark, sf_dir), "l1", "r1", 6)
+
+
+@query(f"WITH {EDGES_SQL}, g AS (SELECT DISTINCT src, dst FROM e) SELECT (SELECT count(*) FROM (SELECT src FROM g UNION SELECT dst FROM g UNION SELECT 'p' || p_partkey FROM part)) AS nodes, (SELECT count(*) FROM g) AS edges")
+def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node"))
+    return graph.counts(_edges(spark, sf_dir).select("src", "dst").distinct(), nodes)
+
+
+@query("""WITH r AS (SELECT l_orderkey::VARCHAR AS source, 'p' || l_partkey AS target_name, l_linenumber AS seq, l_returnflag AS type FROM lineitem),
+i AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY p_name),
+n AS (SELECT r.*, coalesce(i.id::VARCHAR, 'unresolved::' || coalesce(p.p_name, r.target_name)) AS target FROM r LEFT JOIN part p ON r.target_name = 'p' || p.p_partkey LEFT JOIN i ON i.name = p.p_name AND p.p_size > 5)
+SELECT source AS src, target AS dst, arg_max(type, seq * 1000000 + hash_key) AS type FROM (SELECT *, 0 AS hash_key FROM n) GROUP BY source, target HAVING count(*) = 1
+""")
+def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships by part name resolved to the first part of that name (parts of size 5 and less are unknown)."""
+    parts = table(spark, sf_dir, "part")
+    rel = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
+    rel = rel.select(F.col("l_orderkey").cast("string").alias("source_symbol_id"), F.lit(None).cast("string").alias("target_symbol_id"), F.when(F.col("p_size") > 5, F.col("p_name")).otherwise(F.concat(F.lit("?"), F.coalesce("p_name", F.concat(F.lit("p"), "l_partkey")))).alias("target_name"), F.col("l_returnflag").alias("relationship_type"), F.lit(1.0).alias("confidence"), F.col("l_linenumber").alias("seq"))
+    symbols = parts.select(F.col("p_partkey").cast("string").alias("id"), F.lit("").alias("file_path"), F.col("p_partkey").alias("line_start"), F.col("p_name").alias("name"), F.col("p_name").alias("qualified_name"))
+    resolved = graph.resolve(rel, graph.name_index(symbols)).withColumn("target_symbol_id", F.regexp_replace("target_symbol_id", r"^unresolved::\?", graph.UNRESOLVED))
+    once = resolved.groupBy("source_symbol_id", "target_symbol_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    return graph.edges_of(resolved.join(once, ["source_symbol_id", "target_symbol_id"])).select("src", "dst", "type")
+
+
+@query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages)
+SELECT target, count(*) AS links, count(DISTINCT page_id) AS pages FROM l GROUP BY target""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
+    return links.groupBy("target").agg(F.count(F.lit(1)).alias("links"), F.countDistinct("page_id").alias("pages"))
+
+
+# ---------------------------------------------------------------- memory
+
+MEMORIES = """m AS (SELECT conv_id || '-' || turn AS id, role AS category, text AS content, TIMESTAMP '2024-01-01' + to_seconds((conv_id * 600 + turn * 60)::BIGINT) AS updated_at, ((conv_id * 7 + turn) % 5)::BIGINT AS access_count FROM conversations)"""
+
+
+def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = (F.lit("2024-01-01 00:00:00").cast("timestamp").cast("long") + F.col("conv_id") * 600 + F.col("turn") * 60).cast("timestamp")
+    return table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("category"), F.col("text").alias("content"), at.alias("updated_at"), ((F.col("conv_id") * 7 + F.col("turn")) % 5).alias("access_count"))
+
+
+@query(f"WITH {MEMORIES} SELECT id, category FROM m WHERE lower(content) LIKE '%the%' AND category = 'user' ORDER BY updated_at DESC, id LIMIT 10")
+def memory_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.retrieve(_memories(spark, sf_dir), "the", "user").select("id", "category")
+
+
+@query(f"WITH {MEMORIES} SELECT id, category, access_count FROM m ORDER BY updated_at DESC, id LIMIT 50")
+def memory_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.listed(_memories(spark, sf_dir)).select("id", "category", "access_count")
+
+
+@query(f"WITH {MEMORIES} SELECT category, count(*) AS total FROM m GROUP BY category UNION ALL SELECT 'all', count(*) FROM m")
+def memory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.stats(_memories(spark, sf_dir))
+
+
+@query(f"WITH {MEMORIES}, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY access_count, updated_at, id) AS n, count(*) OVER (PARTITION BY category) AS c FROM m) SELECT id, category FROM r WHERE n <= c - 100")
+def memory_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.evicted(_memories(spark, sf_dir)).select("id", "category")
+
+
+@query(f"WITH {MEMORIES} SELECT id, category FROM m WHERE updated_at < (SELECT max(updated_at) FROM m) - INTERVAL 1 DAY AND access_count < 3")
+def memory_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _memories(spark, sf_dir)
+    now = rows.agg(F.max("updated_at")).first()[0]
+    return memory.stale(rows, F.lit(now), days=1).select("id", "category")
+
+
+# ---------------------------------------------------------------- order-dependent operators
+
+@query("""WITH w AS (SELECT user_id, event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events)
+SELECT user_id, event_id, (epoch_us(nxt) - epoch_us(ts))::BIGINT AS gap_us FROM w WHERE nxt IS NOT NULL AND epoch_us(nxt) - epoch_us(ts) > 3600000000""")
+def gap_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    gap = (F.unix_micros(F.col("nxt").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))).alias("gap_us")
+    return table(spark, sf_dir, "events").withColumn("nxt", after).where("nxt is not null").select("user_id", "event_id", gap).where("gap_us > 3600000000")
+
+
+@query("""SELECT event_id, last_value(CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent_id FROM events""")
+def asof_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest preceding event of the first kind, per user."""
+    events = table(spark, sf_dir, "events")
+    kind = events.agg(F.min("event_type")).first()[0]
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    return events.select("event_id", F.last(F.when(F.col("event_type") == kind, F.col("event_id")), ignorenulls=True).over(w).alias("parent_id"))
+
+
+EVENT_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
