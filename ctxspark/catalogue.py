@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from . import fixtures
 from .functions import masking, paths, text
-from .operators import bm25, graph, hybrid, memory, vectors
+from .operators import bm25, chunking, graph, hybrid, memory, parsing, vectors
+from .streaming import ingest
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -402,4 +403,66 @@ def asof_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", F.last(F.when(F.col("event_type") == kind, F.col("event_id")), ignorenulls=True).over(w).alias("parent_id"))
 
 
-EVENT_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
+# ---------------------------------------------------------------- parsing, chunking, streaming
+
+def _values(rows: list[tuple], columns: str) -> str:
+    cell = lambda v: "NULL::VARCHAR" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+def _fixture(spark: SparkSession, languages: tuple[str, ...] | None = None) -> DataFrame:
+    rows = [(p, lang, s) for p, (lang, s) in fixtures.FILES.items() if languages is None or lang in languages]
+    return spark.createDataFrame(rows, "path string, language string, source string")
+
+
+def _register_parsers() -> None:
+    for name, languages in (("parse_sql", ("sql",)), ("parse_csharp", ("csharp",)), ("parse_dotnet", ("dotnet",)), ("parse_asp", ("aspnet",)), ("parse_python", ("python",)), ("parse_php", ("php",)), ("parse_typescript", ("tsx",))):
+        paths_ = [p for p, (lang, _) in fixtures.FILES.items() if lang in languages]
+
+        def run(spark: SparkSession, sf_dir: str, languages=languages) -> DataFrame:
+            files = _fixture(spark, languages)
+            found = parsing.symbols_of(parsing.parse_files(files), files)
+            return found.select("name", F.col("symbol_type").alias("kind"), "line_start", "line_end", "parent_name")
+
+        QUERIES[name] = run
+        ORACLE[name] = _values([r for p in paths_ for r in fixtures.EXPECTED[p]], "name, kind, line_start, line_end, parent_name")
+
+
+_register_parsers()
+
+
+@query(_values([(p, *r) for p, rows in fixtures.EXPECTED_RELATIONSHIPS.items() for r in dict.fromkeys(rows)] + [("web/Cart.tsx", "useQuery", "queries")], "path, target_name, relationship_type"))
+def parse_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parsing.relationships_of(parsing.parse_files(_fixture(spark)))
+    return rows.select(F.col("source_file_path").alias("path"), "target_name", "relationship_type")
+
+
+@query()
+def chunk_fixture_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _fixture(spark)
+    return chunking.chunk_files(files, parsing.parse_files(files), chunking.Sizes(5, 20, 60, 5)).select("id", "file_path", "symbol_name", "symbol_type", "line_start", "line_end", "hash", "token_count", "chunk_index")
+
+
+@query()
+def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document cut at line ends into segments of at most 120 tokens with an overlap of 20."""
+    split = F.udtf(_Segments, returnType="segment int, first_line int, token_count int, hash string")
+    spark.udtf.register("ctx_segments", split)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.createOrReplaceTempView("ctx_segment_docs")
+    return spark.sql("SELECT doc_id, s.* FROM ctx_segment_docs, LATERAL ctx_segments(text) s")
+
+
+class _Segments:
+    def eval(self, text: str):
+        import hashlib
+
+        for n, (first, part) in enumerate(chunking.split_lines(text or "", 120, 20)):
+            yield n, first, chunking.tokens(part), hashlib.md5(part.encode()).hexdigest()
+
+
+@query("SELECT event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def stream_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = ingest.fresh_folder(spark)
+    stream = ingest.file_stream(spark, f"{sf_dir}/events.parque[t]", ingest.EVENTS)
+    return ingest.ingest_counts(stream, "event_type", f"{folder}/parts", f"{folder}/checkpoint")
