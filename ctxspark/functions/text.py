@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 def tokenize(text: Column, max_tokens: int | None = None) -> Column:
     """Lower-cased runs of ASCII letters, digits, _ and $. The cut to max_tokens counts empty pieces at the ends."""
-    parts = F.split(F.lower(text), r"[^a-zA-Z0-9_$]+")
-    if max_tokens is not None:
-        parts = F.slice(parts, 1, max_tokens)
-    return F.filter(parts, lambda x: x != "")
+    if max_tokens is None:
+        return F.regexp_extract_all(F.lower(text), F.lit(r"[a-zA-Z0-9_$]+"), F.lit(0))
+    return F.filter(F.slice(F.split(F.lower(text), r"[^a-zA-Z0-9_$]+"), 1, max_tokens), lambda x: x != "")
 
 
 def token_count(text: Column) -> Column:

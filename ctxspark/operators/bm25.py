@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,8 +31,8 @@ def raw_idf(n: int):
 def inverse_frequencies(tokens: DataFrame, n: int) -> DataFrame:
     """term, df, idf: negative ones become a quarter of the mean over all terms before that."""
     df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    mean = df.agg(F.avg(raw_idf(n))).first()[0] or 0.0
-    return df.select("term", "df", F.when(raw_idf(n) < 0, FLOOR * mean).otherwise(raw_idf(n)).alias("idf"))
+    mean = F.broadcast(df.agg(F.avg(raw_idf(n)).alias("mean")))  # one row; the counts' exchange is reused
+    return df.join(mean).select("term", "df", F.when(raw_idf(n) < 0, FLOOR * F.col("mean")).otherwise(raw_idf(n)).alias("idf"))
 
 
 def search(tokens: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -56,7 +54,3 @@ def search(tokens: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     scored = scored.withColumn("best", best).where((F.col("best") > 0) & (F.col("raw") > 0)).select("query_id", "id", F.round(F.col("raw") / F.col("best"), 6).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
-
-
-def idf_value(n: int, df: int) -> float:
-    return math.log(n - df + 0.5) - math.log(df + 0.5)
