@@ -129,14 +129,13 @@ def scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     families, weights, bias, _ = model()
     labels = [*families, UNKNOWN]
-    rows = [(t, labels[i], float(v)) for t, w in weights.items() for i, v in enumerate(w) if v]
+    rows = [("", f, float(b)) for f, b in zip(labels, bias, strict=True)]  # every paragraph has the empty term
+    rows += [(t, labels[i], float(v)) for t, w in weights.items() for i, v in enumerate(w) if v]
     table = F.broadcast(spark.createDataFrame(rows, "term string, family string, weight double"))  # a few thousand rows, fixed
-    biases = F.broadcast(spark.createDataFrame([(f, float(b)) for f, b in zip(labels, bias, strict=True)], "family string, bias double"))
     notices = F.broadcast(spark.createDataFrame([(f, sorted({x for x in plain_terms(t) if " " not in x})) for f in families for t in NOTICES[f]], "family string, words array<string>"))
     found = paragraphs(docs).dropDuplicates(["key", "pos"])
     heat = temperature()
-    scored = found.select("key", "pos", F.explode("terms").alias("term")).join(table, "term").groupBy("key", "pos", "family").agg(F.sum("weight").alias("weight"))
-    scored = scored.join(biases, "family").select("key", "pos", "family", ((F.col("weight") + F.col("bias")) / heat).alias("z"))
+    scored = found.select("key", "pos", F.explode(F.array_append("terms", "")).alias("term")).join(table, "term").groupBy("key", "pos", "family").agg((F.sum("weight") / heat).alias("z"))
     seen = scored.groupBy("key", "pos").agg(F.max(F.struct("z", "family")).alias("best"), F.max("z").alias("top"), F.collect_list("z").alias("zs"))
     mass = F.aggregate("zs", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("top")))
     best = seen.select("key", "pos", F.col("best.family").alias("family"), (1 / mass).alias("probability")).where(F.col("family") != UNKNOWN).where(F.col("probability") >= THRESHOLD)
@@ -156,3 +155,28 @@ def document_licenses(docs: DataFrame) -> DataFrame:
         found = scratch.keep(scan(docs).groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("family")), ",").alias("licenses"), F.count(F.lit(1)).alias("n_paragraphs"), F.round(F.max("probability"), 6).alias("confidence")), "licenses")
         out = own.join(found, "key", "left")
         return scratch.result(out.select("doc_id", F.coalesce("licenses", F.lit(UNKNOWN)).alias("licenses"), F.coalesce("n_paragraphs", F.lit(0).cast("long")).alias("n_paragraphs"), F.coalesce("confidence", F.lit(0.0)).alias("confidence")), "scanned")
+
+
+def oracle_sql() -> str:
+    """document_licenses of the table documents as DuckDB SQL, with the model's numbers written out."""
+    families, weights, bias, anchors = model()
+    labels = [*families, UNKNOWN]
+    rows = [("", f, float(b)) for f, b in zip(labels, bias, strict=True)]
+    rows += [(t, labels[i], float(v)) for t, w in weights.items() for i, v in enumerate(w) if v]
+    notices = [(f, sorted({x for x in plain_terms(t) if " " not in x})) for f in families for t in NOTICES[f]]
+    listed = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    return f"""
+WITH w AS (SELECT * FROM (VALUES {", ".join(f"('{t}', '{f}', {v!r}::DOUBLE)" for t, f, v in rows)}) AS t(term, family, weight)
+), nt AS (SELECT * FROM (VALUES {", ".join(f"('{f}', {listed(ws)})" for f, ws in notices)}) AS t(family, words)
+), l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS paragraph FROM documents
+), u AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(lower(paragraph), '[a-z]+[0-9]*|[0-9]+(?:\\.[0-9]+)*') AS ws FROM l
+), t AS (SELECT id, doc_id, ws, list_distinct(list_concat(ws, CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE [] END)) AS terms FROM u
+), c AS (SELECT * FROM t WHERE list_has_any(terms, {listed(anchors)})
+), z AS (SELECT id, w.family, sum(w.weight) / {temperature()!r} AS z FROM (SELECT id, unnest(list_append(terms, '')) AS term FROM c) e JOIN w USING (term) GROUP BY id, w.family
+), b AS (SELECT id, arg_max(family, z) AS family, 1 / sum(exp(z - top)) AS p FROM (SELECT *, max(z) OVER (PARTITION BY id) AS top FROM z) GROUP BY id
+), f AS (
+  SELECT c.id, c.doc_id, b.family, b.p FROM b JOIN c USING (id) JOIN nt ON nt.family = b.family
+  WHERE b.family <> '{UNKNOWN}' AND b.p >= {THRESHOLD} GROUP BY ALL HAVING max(len(list_intersect(c.ws, nt.words)) / len(nt.words)) >= {CONFIRM}
+), g AS (SELECT doc_id, string_agg(DISTINCT family, ',' ORDER BY family) AS licenses, count(*) AS n, round(max(p), 6) AS p FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(g.licenses, '{UNKNOWN}') AS licenses, coalesce(g.n, 0) AS n_paragraphs, coalesce(g.p, 0.0)::DOUBLE AS confidence FROM documents d LEFT JOIN g USING (doc_id)
+"""

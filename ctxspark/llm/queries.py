@@ -9,6 +9,7 @@ from .decontaminate import contamination
 from .fingerprint import fingerprints
 from .jaccard_join import jaccard_components
 from .license_scan import document_licenses
+from .license_scan import oracle_sql as license_sql
 from .line_dedup import dedup_lines
 from .masked_lm import fit as fit_masked
 from .masked_lm import score as score_masked
@@ -143,3 +144,4 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(t.
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """,
 }
+ORACLE["op8_license_scan"] = license_sql()
