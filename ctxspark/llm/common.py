@@ -42,13 +42,13 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self._paths: dict[int, str] = {}
+        self._paths: set[str] = set()
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *exc) -> None:
-        for path in self._paths.values():
+        for path in self._paths:
             self._delete(path)
         self._paths.clear()
 
@@ -63,8 +63,8 @@ class Scratch:
 
     def keep(self, df: DataFrame, tag: str) -> DataFrame:
         path, out = self._write(df, tag)
-        self._paths[id(out)] = path
-        out._scratch_of = self  # the id stays valid as long as the DataFrame lives
+        self._paths.add(path)
+        out._scratch_path = path
         return out
 
     def result(self, df: DataFrame, tag: str) -> DataFrame:
@@ -72,7 +72,9 @@ class Scratch:
 
     def drop(self, *dfs: DataFrame | None) -> None:
         for df in dfs:
-            if df is not None and (path := self._paths.pop(id(df), None)):
+            path = getattr(df, "__dict__", {}).get("_scratch_path")
+            if path in self._paths:
+                self._paths.remove(path)
                 self._delete(path)
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ctxspark.llm import common, decontaminate, fingerprint, jaccard_join, license_scan, line_dedup, masked_lm, quality, sentencepiece_sa, toxicity, url_rules
-from ctxspark.llm.queries import PIECE_MODEL, QUERIES
+from ctxspark.llm.queries import ORACLE, PIECE_MODEL, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -383,3 +383,18 @@ def test_pipeline(spark, sf_dir):
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
     final = corpus_pipeline.run(spark, sf_dir)
     assert final.columns == [*docs.columns, "token_ids"] and final.select("doc_id").distinct().count() == final.count()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_oracle(name, spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "labels"):
+        con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    want = con.sql(ORACLE[name])
+    got = QUERIES[name](spark, sf_dir)
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    order = [want.columns.index(c) for c in columns]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(tuple(r[i] for i in order) for r in want.fetchall())
