@@ -2,13 +2,14 @@
 
 1. One pass shingles every whole text: size, class key (hash of the whole set), four minima under
    pure hash orders, the packed set, and a sketch of token frequencies over all documents.
-2. Star links: classes that share a minimum are compared with that bucket's smallest class only, so a
+2. Star links: classes that share a minimum are compared with one class of that bucket only, so a
    group of thousands of near copies costs a few links each, not all pairs.
 3. Completeness: under the first order (rare tokens first, then hash) two sets with Jaccard >= 0.75
    must share m tokens of their prefixes of n - ceil(0.75 n) + m tokens, for any m; m grows with n, so
    that long documents which share a few tokens by chance are no candidates. For pairs across
    components that share as many, parity bitmaps (set bits of the exclusive or never exceed the
-   symmetric difference) must allow a link, they must share as many prefix tokens under every other
+   symmetric difference) must allow a link (tokens that very many classes share are compared by
+   bitmap in tiles, so that their pairs never become rows), they must share as many prefix tokens under every other
    order, and what is left is verified exactly. Any order is correct, so an approximate frequency sketch is enough.
 4. Connected components over the verified links.
 
@@ -33,10 +34,13 @@ SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F1
 ORDERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 SKETCH_BITS = 18
 PARITY_BITS = 2048
-#: Seeds whose buckets are linked in one round; a round skips what earlier ones have joined.
-STAR_ROUNDS = ((0,), (1, 2, 3))
+#: Seeds whose buckets are linked in one round; a round skips what earlier ones have joined, and its own
+#: hash chooses the bucket's class that the others are compared with.
+STAR_ROUNDS = ((0,), (1,), (2, 3), (0, 1, 2, 3))
 #: Up to so many class keys (8 bytes each) a set of keys is broadcast to prune a scan; above, it is a shuffled join.
 BROADCAST_KEYS = 500_000
+#: A prefix token of more classes than CROWD is compared in tiles of blocks of about TILE classes.
+CROWD, TILE = 48, 1024
 SLICE_ROWS = 1024
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 ROW = T.StructType(
@@ -92,8 +96,18 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """For each of PARITY_BITS remainders, whether an odd number of tokens has it."""
-    return np.packbits(np.bincount((tokens % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1).tobytes()
+    """For each remainder by a power of two (PARITY_BITS, or the first that is no less than the size),
+    whether an odd number of tokens has it."""
+    size = max(PARITY_BITS, 1 << (len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount((tokens % np.uint64(size)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) for fewer remainders: halves cancel where both are odd."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
 
 
 def order_keys(tokens: np.ndarray, levels: np.ndarray, seed: int) -> np.ndarray:
@@ -184,11 +198,73 @@ def _verify(levels: np.ndarray | None):
 
 def _may_link(batches):
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
-        n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-        least = -(-NUM * n // (NUM + DEN))
-        keep = np.bitwise_count(x ^ y).sum(axis=1) <= n - 2 * least
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+        keep = []
+        for x, y, n in zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()).tolist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            words = min(len(x), len(y))
+            keep.append(int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) <= n - 2 * -(-NUM * n // (NUM + DEN)))
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+
+
+def _tile_pairs(batches):
+    """Pairs (a, b) of different components that the bitmaps allow, within rows of equal (token, i, j).
+
+    Rows come sorted by these; a tile i < j holds two blocks, whose rows are compared with each other.
+    """
+    rows: list[tuple] = []
+    key = None
+
+    def pairs():
+        k, n, comp = (np.array([r[c] for r in rows], np.int64) for c in (0, 1, 2))
+        words = np.array([len(r[3]) // 8 for r in rows])
+        second = np.array([r[4] for r in rows]) == key[2]
+        first = ~second if key[1] != key[2] else np.ones(len(rows), bool)
+        found = [np.zeros((2, 0), np.int64)]
+        sizes = sorted(set(words.tolist()))
+        bits = {w: np.frombuffer(b"".join([rows[r][3] for r in np.flatnonzero(words == w)]), np.uint64).reshape(-1, w) for w in sizes}
+        for w in sizes:  # a bitmap is compared with those of its size and of the next one on either side
+            for v in (w // 2, w, w * 2):
+                left, right = np.flatnonzero(words == w), np.flatnonzero(words == v)
+                if not len(right):
+                    continue
+                x_bits, y_bits = folded(bits[w], min(v, w))[first[left]], folded(bits[v], min(v, w))[second[right]]
+                left, right = left[first[left]], right[second[right]]
+                step = max(1, 2_000_000 // max(1, y_bits.size))
+                for at in range(0, len(left) if len(right) else 0, step):
+                    x = left[at : at + step]
+                    both = n[x][:, None] + n[right]
+                    least = -(-NUM * both // (NUM + DEN))
+                    near = (np.bitwise_count(x_bits[at : at + step][:, None] ^ y_bits).sum(axis=2, dtype=np.int64) <= both - 2 * least) & (comp[x][:, None] != comp[right]) & (least <= np.minimum(n[x][:, None], n[right]))
+                    p, q = np.nonzero(near)
+                    found.append(np.stack((k[x[p]], k[right[q]])))
+        a, b = np.concatenate(found, 1)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    for batch in batches:
+        cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        for token, i, j, *row in zip(*cols, strict=True):
+            if key != (token, i, j):
+                if rows:
+                    yield pairs()
+                rows, key = [], (token, i, j)
+            rows.append(tuple(row))
+    if rows:
+        yield pairs()
+
+
+def _crowded_pairs(placed: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Candidate pairs that share a token of `placed`, compared by bitmap in tiles of at most 2 x TILE rows.
+
+    The pairs of a crowded token are never rows of a join: only those that may be links leave a tile.
+    """
+    keys = scratch.keep(placed.select("k").distinct(), "crowd")
+    own = sets.select("k", "bits").join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "k", "left_semi").dropDuplicates(["k"])
+    many = placed.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+    rows = placed.join(many, "token").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    rows = rows.join(own, "k").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    rows = rows.select("token", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "k", "n", "comp", "bits", "own")
+    rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return rows.mapInArrow(_tile_pairs, "a long, b long").distinct()
 
 
 def _pair_links(pairs: DataFrame, sets: DataFrame, levels: np.ndarray | None, scratch: Scratch) -> DataFrame:
@@ -234,12 +310,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sets = rows.where("packed is not null").select("k", "n", "packed", "bits")
         classes = scratch.keep(rows.groupBy("k").agg(F.min("n").alias("n"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(len(SEEDS))]), "classes")
         links = groups = None
-        for seeds in STAR_ROUNDS:
+        for turn, seeds in enumerate(STAR_ROUNDS):
             minima = classes.select("k", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("o"), F.col(f"m{i}").alias("m")) for i in seeds])).alias("x")).select("k", "n", "x.o", "x.m")
             if groups is not None:
                 minima = minima.join(groups.withColumnRenamed("node", "k"), "k", "left")
             minima = minima.withColumn("comp", F.coalesce("comp", "k") if groups is not None else F.col("k"))
-            low = minima.groupBy("o", "m").agg(F.min(F.struct("k", "n", "comp")).alias("rep"), F.count(F.lit(1)).alias("many")).where("many > 1")
+            low = minima.groupBy("o", "m").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "o", "k").alias("by"), "k", "n", "comp")).alias("rep"), F.count(F.lit(1)).alias("many")).where("many > 1")
             stars = minima.join(low, ["o", "m"]).where(F.col("comp") != F.col("rep.comp")).where(fits("n", "rep.n"))
             stars = scratch.keep(stars.select(F.col("rep.k").alias("a"), F.col("k").alias("b")).distinct(), "stars")
             found_links = _pair_links(stars, sets, None, scratch)
@@ -253,10 +329,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         placed = shared.distinct().join(groups.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
         mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
         placed = scratch.keep(placed.join(mixed, "token", "left_semi"), "placed")
-        x, y = (placed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("k", "n", "comp")]) for s in "ab")
+        crowd = placed.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > CROWD).select("token")
+        light = placed.join(crowd, "token", "left_anti")
+        x, y = (light.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("k", "n", "comp")]) for s in "ab")
         pairs = x.join(y, "token").where("k_a < k_b and comp_a <> comp_b").where(fits("n_a", "n_b"))
         least = F.lit(1) + F.floor(F.least(F.min("n_a"), F.min("n_b")) / 64)
         pairs = pairs.groupBy(F.col("k_a").alias("a"), F.col("k_b").alias("b")).agg((F.count(F.lit(1)) >= least).alias("enough")).where("enough").select("a", "b")
+        pairs = pairs.union(_crowded_pairs(placed.join(crowd, "token", "left_semi"), sets, scratch)).distinct()
         more = _pair_links(scratch.keep(pairs, "pairs"), sets, levels, scratch)
         ends = scratch.keep(components(links.union(more), scratch), "ends")
         named = rows.select("doc_id", "n", "k").join(ends.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
