@@ -11,20 +11,24 @@ independent; a vocabulary that breaks this makes whole texts the units. Tokenize
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import ship
 
 BLANK = "▁"
 #: Units of more symbols than this are relaxed with a heap of their own instead of in step with others.
 LONG_UNIT = 192
-MEMO_UNITS = 350_000
-SLICE_ROWS, SLICE_CHARS = 2048, 6_000_000
+MEMO_UNITS = 300_000
+#: Bytes of new units that are indexed at once, and rows and bytes of texts encoded at once: bound a worker's memory.
+INDEX_BYTES = 700_000
+SLICE_ROWS, SLICE_BYTES = 1024, 4_000_000
 
 
 class Pieces:
@@ -126,12 +130,14 @@ def encode_units(units: list[bytes], pieces: Pieces) -> tuple[np.ndarray, np.nda
     order, key = suffix_array(data, int(pieces.sizes.max()))
     lo, hi = occurrences(order, key, pieces)
     count = np.maximum(hi - lo, 0)
-    piece = np.repeat(np.arange(len(count)), count)
+    piece = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    order = order.astype(np.int32)
     place = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
     unit = np.repeat(np.arange(len(units)), sizes)
     inside = place + pieces.sizes[piece] <= ends[unit[place]] if len(place) else np.zeros(0, bool)
     piece, place = piece[inside], place[inside]
-    edges = place * 64 + pieces.sizes[piece]
+    edges = place.astype(np.int64) * 64 + pieces.sizes[piece]
+    del place, inside
     by_place = np.argsort(edges)
     edges, piece = edges[by_place], piece[by_place]
 
@@ -274,6 +280,19 @@ def _unit_bytes(unit: str, splits: bool) -> bytes:
     return unit.replace(" ", BLANK).encode()
 
 
+class _Units(dict):
+    """Number of each unit; units asked for the first time wait in `new`. start: the first free number."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self)
+        self.new.append(unit)
+        return n
+
+
 class Encoder:
     """Encodes batches of texts; units already met are remembered (up to a bound)."""
 
@@ -282,7 +301,7 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo = _Units()
         self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -290,23 +309,30 @@ class Encoder:
         if len(self.memo) > MEMO_UNITS:
             self._reset()
         splits, memo = self.pieces.splits, self.memo
-        units = [units_of(t or "", splits) for t in texts]
-        new = list({u for us in units for u in us if u not in memo})
-        if new:
-            ids, sizes = encode_units([_unit_bytes(u, splits) for u in new], self.pieces)
-            memo.update(zip(new, range(len(self.offsets) - 1, len(self.offsets) - 1 + len(new)), strict=True))
-            self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(sizes)))
-            self.ids = np.concatenate((self.ids, ids))
-        counts = np.zeros(len(texts), np.int64)
-        all_ids = []
-        for k, us in enumerate(units):
-            if us:
-                at = np.fromiter(map(memo.__getitem__, us), np.int64, len(us))
-                begin, size = self.offsets[at], self.offsets[at + 1] - self.offsets[at]
-                total = int(size.sum())
-                all_ids.append(self.ids[np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)])
-                counts[k] = total
-        return np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32), counts
+        per, flat = np.zeros(len(texts), np.int64), []
+        for i, t in enumerate(texts):
+            if t:
+                units = units_of(t, splits)
+                per[i] = len(units)
+                flat += units
+        at = np.fromiter(map(memo.__getitem__, flat), np.int64, len(flat))
+        if memo.new:
+            new = [_unit_bytes(u, splits) for u in memo.new]
+            memo.new = []
+            ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
+            at_ = 0
+            while at_ < len(new):
+                stop = max(at_ + 1, int(np.searchsorted(ends, (ends[at_ - 1] if at_ else 0) + INDEX_BYTES, "right")))
+                ids, sizes = encode_units(new[at_:stop], self.pieces)
+                self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(sizes)))
+                self.ids = np.concatenate((self.ids, ids))
+                at_ = stop
+        begin, size = self.offsets[at], self.offsets[at + 1] - self.offsets[at]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        shift = np.repeat(begin - ends[:-1], size)
+        shift += np.arange(len(shift))
+        last = np.cumsum(per)
+        return self.ids[shift], ends[last] - ends[last - per]
 
 
 def decode(ids, pieces: Pieces) -> str:
@@ -317,31 +343,25 @@ def decode(ids, pieces: Pieces) -> str:
 
 
 def _slices(batch, column: int):
+    """Parts of a batch, bounded in rows and bytes, with their texts."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
     at = 0
-    texts = batch.column(column).to_pylist()
     while at < batch.num_rows:
-        stop, chars = at, 0
-        while stop < batch.num_rows and stop - at < SLICE_ROWS and (chars < SLICE_CHARS or stop == at):
-            chars += len(texts[stop] or "")
-            stop += 1
-        yield batch.slice(at, stop - at), texts[at:stop]
+        stop = at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + SLICE_ROWS]), SLICE_BYTES)))
+        part = batch.slice(at, stop - at)
+        yield part, part.column(column).to_pylist()
         at = stop
 
 
-def _encode_rows(pieces: Pieces, check: bool):
+def _encode_rows(pieces: Pieces):
     def run(batches):
         encoder = Encoder(pieces)
         for batch in batches:
-            for part, texts in _slices(batch, batch.num_columns - 1):
+            for part, texts in _slices(batch, 1):
                 ids, counts = encoder.encode(texts)
                 offsets = np.concatenate(([0], np.cumsum(counts)))
-                cols = [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
-                names = [*part.schema.names[:-1], "token_ids"]
-                if check:
-                    flat = ids.tolist()
-                    cols.append(pa.array([decode(flat[a:b], pieces) == (t or "") for a, b, t in zip(offsets[:-1], offsets[1:], texts, strict=True)]))
-                    names.append("round_trip")
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                same = [decode(ids[a:b].tolist(), pieces) == (t or "") for a, b, t in zip(offsets[:-1], offsets[1:], texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)), pa.array(same, pa.bool_())], names=["doc_id", "token_ids", "round_trip"])
 
     return run
 
@@ -354,16 +374,25 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """
     ship(__name__)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encode_rows(pieces, True), "doc_id long, token_ids array<int>, round_trip boolean")
+    return rows.mapInArrow(_encode_rows(pieces), "doc_id long, token_ids array<int>, round_trip boolean")
 
 
 def with_ids(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """All columns of docs and token_ids (in place of a column of that name)."""
+    """All columns of docs and token_ids (in place of a column of that name). Only texts go to Python."""
     ship(__name__)
-    cols = [c for c in docs.columns if c != "token_ids"]
-    framed = docs.select(F.struct(*[docs[c] for c in cols]).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = T.StructType([framed.schema["row"], T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
-    return framed.mapInArrow(_encode_rows(pieces, False), schema).select("row.*", "token_ids")
+
+    @F.pandas_udf("array<int>")
+    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = Encoder(pieces)
+        for texts in batches:
+            out = []
+            for _, part in _slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"]), 0):
+                ids, counts = encoder.encode(part)
+                out += np.split(ids, np.cumsum(counts)[:-1])
+            yield pd.Series(out, dtype=object)
+
+    cols = [docs[c] for c in docs.columns if c != "token_ids"]
+    return docs.select(*cols, ids_of(docs["text"].cast("string")).alias("token_ids"))
 
 
 def decode_rows(rows: DataFrame, pieces: Pieces) -> DataFrame:
