@@ -41,6 +41,8 @@ STAR_ROUNDS = ((0,), (1,), (2, 3), (0, 1, 2, 3))
 BROADCAST_KEYS = 500_000
 #: A prefix token of more classes than CROWD is compared in tiles of blocks of about TILE classes.
 CROWD, TILE = 48, 1024
+#: So many of a class's crowded tokens tell tiles which pairs another one has.
+LOW_TOKENS = 64
 SLICE_ROWS = 1024
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 ROW = T.StructType(
@@ -209,7 +211,8 @@ def _may_link(batches):
 def _tile_pairs(batches):
     """Pairs (a, b) of different components that the bitmaps allow, within rows of equal (token, i, j).
 
-    Rows come sorted by these; a tile i < j holds two blocks, whose rows are compared with each other.
+    Rows come sorted by these; a tile i < j holds two blocks, whose rows are compared with each other. A
+    pair is left to the tile of a smaller token where both rows' `low` (their first crowded tokens) show one.
     """
     rows: list[tuple] = []
     key = None
@@ -219,6 +222,7 @@ def _tile_pairs(batches):
         words = np.array([len(r[3]) // 8 for r in rows])
         second = np.array([r[4] for r in rows]) == key[2]
         first = ~second if key[1] != key[2] else np.ones(len(rows), bool)
+        lower = [{t for t in r[5] if t < key[0]} for r in rows]
         found = [np.zeros((2, 0), np.int64)]
         sizes = sorted(set(words.tolist()))
         bits = {w: np.frombuffer(b"".join([rows[r][3] for r in np.flatnonzero(words == w)]), np.uint64).reshape(-1, w) for w in sizes}
@@ -235,8 +239,9 @@ def _tile_pairs(batches):
                     both = n[x][:, None] + n[right]
                     least = -(-NUM * both // (NUM + DEN))
                     near = (np.bitwise_count(x_bits[at : at + step][:, None] ^ y_bits).sum(axis=2, dtype=np.int64) <= both - 2 * least) & (comp[x][:, None] != comp[right]) & (least <= np.minimum(n[x][:, None], n[right]))
-                    p, q = np.nonzero(near)
-                    found.append(np.stack((k[x[p]], k[right[q]])))
+                    p, q = (x[i] for x, i in zip((x, right), np.nonzero(near), strict=True))
+                    mine = np.array([lower[a].isdisjoint(lower[b]) for a, b in zip(p.tolist(), q.tolist(), strict=True)], bool)
+                    found.append(np.stack((k[p[mine]], k[q[mine]])))
         a, b = np.concatenate(found, 1)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -261,8 +266,9 @@ def _crowded_pairs(placed: DataFrame, sets: DataFrame, scratch: Scratch) -> Data
     own = sets.select("k", "bits").join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "k", "left_semi").dropDuplicates(["k"])
     many = placed.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
     rows = placed.join(many, "token").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    rows = rows.join(own, "k").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    rows = rows.select("token", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "k", "n", "comp", "bits", "own")
+    low = placed.groupBy("k").agg(F.slice(F.array_sort(F.collect_set("token")), 1, LOW_TOKENS).alias("low"))
+    rows = rows.join(own, "k").join(low, "k").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    rows = rows.select("token", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "k", "n", "comp", "bits", "own", "low")
     rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     return rows.mapInArrow(_tile_pairs, "a long, b long").distinct()
 
