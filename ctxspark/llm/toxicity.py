@@ -14,6 +14,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -219,18 +220,17 @@ def probability(e: float, model: ToxicityModel) -> float:
     return 1 / (1 + math.exp(-min(30.0, max(-30.0, model.slope * e + model.shift))))
 
 
-def _scores(model: ToxicityModel, spans: bool):
+def _scores(model: ToxicityModel):
+    passage = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                got = [document_segments(t, model) for t in part.column(part.num_columns - 1).cast(pa.binary()).to_pylist()]
+                got = [document_segments(t, model) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 score = pa.array([probability(evidence(n, x, model.lam, model.k), model) for n, x in got], pa.float64())
-                cols, names = [*part.columns[:-1], score], [*part.schema.names[:-1], "toxicity"]
-                if spans:
-                    cols.append(pa.array([[{"first": a, "last": b, "score": s} for s, a, b in x] for _, x in got], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))))
-                    names.append("passages")
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                spans = pa.array([[{"first": a, "last": b, "score": s} for s, a, b in x] for _, x in got], passage)
+                yield pa.RecordBatch.from_arrays([part.column(0), score, spans], names=["doc_id", "toxicity", "passages"])
 
     return run
 
@@ -242,19 +242,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """
     ship(__name__)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scores(model, True), "doc_id long, toxicity double, passages array<struct<first:long,last:long,score:double>>")
+    return rows.mapInArrow(_scores(model), "doc_id long, toxicity double, passages array<struct<first:long,last:long,score:double>>")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns, whose text scores below the threshold."""
     ship(__name__)
-    clash = "toxicity" if "toxicity" not in docs.columns else "toxicity_of_" + "_".join(docs.columns)
-    cols = docs.columns
-    framed = docs.select(F.struct(*[docs[c] for c in cols]).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = framed.select("row").schema.add(clash, "double")
 
-    def run(batches):
-        for out in _scores(model, False)(batches):
-            yield out.rename_columns(["row", clash])
+    @F.pandas_udf("double")
+    def toxicity_of(texts: pd.Series) -> pd.Series:
+        got = [document_segments(t.encode() if t else None, model) for t in texts]
+        return pd.Series([probability(evidence(n, x, model.lam, model.k), model) for n, x in got], dtype="float64")
 
-    return framed.mapInArrow(run, schema).where(F.col(clash) < threshold).select("row.*")
+    return docs.where(toxicity_of(docs["text"].cast("string")) < threshold)
