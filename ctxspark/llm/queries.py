@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .decontaminate import contamination
 from .fingerprint import fingerprints
 from .jaccard_join import jaccard_components
@@ -50,7 +51,8 @@ def op2_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return score_masked(docs, fit_masked(docs))
+    with Scratch(spark) as scratch:
+        return score_masked(docs, fit_masked(docs, scratch))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
