@@ -40,7 +40,7 @@ LEAST = 1.0
 SIGNIFICANT = 3.0
 #: Minima of word 3-shingles under so many hashes: of training documents that share one, the first counts.
 COPY_HASHES = 4
-#: A word that also stands within so many words before counts like a word without evidence.
+#: In the chance level, a word that also stands within so many words before counts like a word without evidence.
 REPEAT = 10
 #: Share of the training documents that is held back from the word counts to calibrate the scores.
 CALIBRATE = 0.3
@@ -91,13 +91,14 @@ def segments(places: list[int], scores: list[float], rest: float, n: int) -> lis
     return [(r[1] - r[0], r[2], r[3]) for r in runs]
 
 
-def document_segments(text: bytes | None, model: ToxicityModel) -> tuple[int, list[tuple[float, int, int]]]:
+def document_segments(text: bytes | None, model: ToxicityModel, damped: bool = False) -> tuple[int, list[tuple[float, int, int]]]:
+    """Number of words, and the segments that aren't noise. Every occurrence of a word counts, unless damped."""
     found = words_of(text)
     get = model.scores.get
     hits, last = [], {}
     for i, s in enumerate(map(get, found)):
         if s is not None:
-            if i - last.get(found[i], -REPEAT - 1) > REPEAT:
+            if not damped or i - last.get(found[i], -REPEAT - 1) > REPEAT:
                 hits.append((i, s))
             last[found[i]] = i
     got = segments([h[0] for h in hits], [h[1] for h in hits], model.rest, len(found)) if hits else []
@@ -154,7 +155,7 @@ def _evidence_rows(model: ToxicityModel):
 def _best_rows(model: ToxicityModel):
     def run(batches):
         for batch in batches:
-            got = [document_segments(t, model) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            got = [document_segments(t, model, damped=True) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([max((s for s, _, _ in x), default=0.0) for _, x in got], pa.float64())], names=["n", "best"])
 
     return run

@@ -3,7 +3,7 @@
 import numpy as np
 from test_llm import docs_of, union_find
 
-from ctxspark.llm import line_dedup, masked_lm
+from ctxspark.llm import line_dedup, masked_lm, toxicity
 
 
 def full_lines(texts):
@@ -45,3 +45,14 @@ def test_words_beyond_the_frequent_ones_have_their_shares(spark, monkeypatch):
     for docs in (df.union(df), other):
         got, want = (sorted(tuple(r) for r in masked_lm.score(docs, m).collect()) for m in (few, every))
         assert len(got) == docs.count() and np.allclose(got, want, atol=1e-9)
+
+
+def test_repeated_toxic_words_count_each_time(spark):
+    model = toxicity.ToxicityModel({b"scum": 5.0}, -1.0, 1.0, 0.01, 1.0, -4.0)
+    texts = ["scum " * n for n in (1, 2, 3, 10, 11, 1000)] + ["scum a b c d e f scum"]
+    rows = {r["doc_id"]: r for r in toxicity.score_toxicity(docs_of(spark, texts), model).collect()}
+    scores = [rows[i]["toxicity"] for i in range(6)]
+    assert scores[0] > 0.9 and scores == sorted(scores)
+    assert [tuple(x) for x in rows[5]["passages"]] == [(0, 999, 5000.0)]
+    assert [tuple(x) for x in rows[6]["passages"]] == [(0, 0, 5.0), (7, 7, 5.0)]
+    assert toxicity.drop_toxic(docs_of(spark, texts), model).isEmpty()
