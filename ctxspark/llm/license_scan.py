@@ -5,7 +5,8 @@ from the statements below (short notices of each family, and unrelated or other
 `unknown`). A paragraph without any anchor (a 1- or 2-gram that the training gave weight to and that only
 licence notices hold) is unknown by definition; others are scored by joining their n-grams with the sparse
 weights. A family is reported if its calibrated probability reaches THRESHOLD and enough of one of the
-family's notices is in the paragraph.
+family's notices is in the paragraph. Each line is scanned as a paragraph of its own first; then the lines
+left between lines with a notice and lines without words are scanned together, for notices that are wrapped.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, free_shuffles
 
 THRESHOLD = 0.5
 #: Share of a notice's distinct words that a paragraph must hold to confirm the family.
 CONFIRM = 0.6
+#: Up to so many documents' notice lines are broadcast; above, it is a shuffled join.
+BROADCAST_KEYS = 500_000
 STEPS, RATE, L1 = 400, 0.5, 2e-4
 UNKNOWN = "unknown"
 
@@ -108,32 +111,73 @@ def temperature() -> float:
     return max(0.05, float(np.median(margins)) / math.log(20))
 
 
+def _key() -> Column:
+    return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("ord"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"))
+
+
+def _gate() -> str:
+    """Cheap first test: an anchor's longest word; case-insensitive in ASCII."""
+    words = sorted({re.escape(max(a.split(" "), key=len)) for a in model()[3]})
+    return r"(?i)(?<![a-z])(?:" + "|".join(words) + r")(?![a-z])"
+
+
+def _anchored(rows: DataFrame) -> DataFrame:
+    """Rows whose paragraph holds an anchor, with its terms."""
+    rows = rows.where(F.col("paragraph").rlike(_gate())).withColumn("terms", terms_of(F.col("paragraph")))
+    return rows.where(F.arrays_overlap("terms", F.array(*[F.lit(a) for a in model()[3]])))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """key, doc_id, pos, paragraph of lines that hold an anchor."""
-    _, _, _, anchors = model()
-    words = sorted({re.escape(max(a.split(" "), key=len)) for a in anchors})
-    # cheap first test: an anchor's longest word; case-insensitive in ASCII
-    gate = r"(?i)(?<![a-z])(?:" + "|".join(words) + r")(?![a-z])"
+    """key, pos, paragraph, terms of lines that hold an anchor."""
+    text = F.col("text").cast("string")
+    return _anchored(docs.where(text.rlike(_gate())).select(_key().alias("key"), F.posexplode(F.split(text, "\n")).alias("pos", "paragraph")))
+
+
+def wrapped(docs: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """The same of runs of two lines or more: those between lines without words and the confirmed lines (key, pos).
+
+    pos is the run's first line.
+    """
     text = F.col("text").cast("string")
-    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("ord"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
-    lines = docs.where(text.rlike(gate)).select(key.alias("key"), F.posexplode(F.split(text, "\n")).alias("pos", "paragraph")).where(F.col("paragraph").rlike(gate))
-    lines = lines.withColumn("terms", terms_of(F.col("paragraph")))
-    return lines.where(F.arrays_overlap("terms", F.array(*[F.lit(a) for a in anchors])))
+    done = confirmed.groupBy("key").agg(F.collect_set("pos").alias("done"))
+    done = F.broadcast(done) if done.count() <= BROADCAST_KEYS else done
+    rows = docs.where(text.contains("\n")).where(text.rlike(_gate())).select(_key().alias("key"), F.split(text, "\n").alias("lines")).join(done, "key", "left")
+    ends = lambda x, i: ~x.rlike(r"[\p{L}\p{N}]") | F.coalesce(F.array_contains("done", i), F.lit(False))
+    rows = rows.select("key", F.transform("lines", lambda x, i: F.when(ends(x, i), F.lit("")).otherwise(x)).alias("own"))
+    starts = F.filter(F.transform("own", lambda x, i: F.when((x != "") & ((i == 0) | (F.get("own", i - 1) == "")), i)), lambda i: i.isNotNull())
+    runs = F.split(F.regexp_replace(F.array_join("own", "\n"), r"\A\n+|\n+\z", ""), r"\n\n+")
+    rows = rows.select("key", F.inline(F.arrays_zip(starts.alias("pos"), runs.alias("paragraph"))).alias("pos", "paragraph"))
+    return _anchored(rows.where("pos is not null").where(F.col("paragraph").contains("\n")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per paragraph in which a family is found: key, pos, family, probability, overlap, paragraph.
+    """One row per line or run of lines in which a family is found: key, pos, family, probability, overlap, paragraph.
 
     key is (doc_id or the lowest number, hash of the text), so repeated rows have one entry.
     """
-    spark = docs.sparkSession
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.result(_scan(docs, scratch, ["paragraph"]), "found")
+
+
+def _scan(docs: DataFrame, scratch: Scratch, more: list[str]) -> DataFrame:
+    columns = ["key", "pos", "family", "probability", "overlap", *more]
+    # without the paragraphs, both readers of the candidates share one exchange
+    lines = scratch.keep(_confirmed(paragraphs(docs)).select(*columns), "lines")
+    free_shuffles(docs.sparkSession)
+    runs = scratch.keep(_confirmed(wrapped(docs, lines.select("key", "pos"))).select(*columns), "runs")
+    free_shuffles(docs.sparkSession)
+    return lines.union(runs)
+
+
+def _confirmed(found: DataFrame) -> DataFrame:
+    spark = found.sparkSession
     families, weights, bias, _ = model()
     labels = [*families, UNKNOWN]
     rows = [("", f, float(b)) for f, b in zip(labels, bias, strict=True)]  # every paragraph has the empty term
     rows += [(t, labels[i], float(v)) for t, w in weights.items() for i, v in enumerate(w) if v]
     table = F.broadcast(spark.createDataFrame(rows, "term string, family string, weight double"))  # a few thousand rows, fixed
     notices = F.broadcast(spark.createDataFrame([(f, sorted({x for x in plain_terms(t) if " " not in x})) for f in families for t in NOTICES[f]], "family string, words array<string>"))
-    found = paragraphs(docs).dropDuplicates(["key", "pos"])
+    found = found.dropDuplicates(["key", "pos"])
     heat = temperature()
     scored = found.select("key", "pos", F.explode(F.array_append("terms", "")).alias("term")).join(table, "term").groupBy("key", "pos", "family").agg((F.sum("weight") / heat).alias("z"))
     seen = scored.groupBy("key", "pos").agg(F.max(F.struct("z", "family")).alias("best"), F.max("z").alias("top"), F.collect_list("z").alias("zs"))
@@ -152,7 +196,7 @@ def document_licenses(docs: DataFrame) -> DataFrame:
     """
     with Scratch(docs.sparkSession) as scratch:
         own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("ord"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th")).alias("key"))
-        found = scratch.keep(scan(docs).groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("family")), ",").alias("licenses"), F.count(F.lit(1)).alias("n_paragraphs"), F.round(F.max("probability"), 6).alias("confidence")), "licenses")
+        found = scratch.keep(_scan(docs, scratch, []).groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("family")), ",").alias("licenses"), F.count(F.lit(1)).alias("n_paragraphs"), F.round(F.max("probability"), 6).alias("confidence")), "licenses")
         out = own.join(found, "key", "left")
         return scratch.result(out.select("doc_id", F.coalesce("licenses", F.lit(UNKNOWN)).alias("licenses"), F.coalesce("n_paragraphs", F.lit(0).cast("long")).alias("n_paragraphs"), F.coalesce("confidence", F.lit(0.0)).alias("confidence")), "scanned")
 

@@ -3,7 +3,7 @@
 import numpy as np
 from test_llm import docs_of, union_find
 
-from ctxspark.llm import line_dedup, masked_lm, toxicity
+from ctxspark.llm import license_scan, line_dedup, masked_lm, toxicity
 
 
 def full_lines(texts):
@@ -56,3 +56,22 @@ def test_repeated_toxic_words_count_each_time(spark):
     assert [tuple(x) for x in rows[5]["passages"]] == [(0, 999, 5000.0)]
     assert [tuple(x) for x in rows[6]["passages"]] == [(0, 0, 5.0), (7, 7, 5.0)]
     assert toxicity.drop_toxic(docs_of(spark, texts), model).isEmpty()
+
+
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+MIT = """ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction"""
+
+
+def test_wrapped_notices(spark):
+    texts = [GPL, BSD, MIT, f"{GPL}\n#\n{BSD}", f"Released under the MIT License.\n{GPL}", f"first\n\n\n{BSD.replace(chr(10), chr(13) + chr(10))}\n\n", f"{GPL}\nAll rights reserved.\n\n{MIT}", "the driver must renew\nthe license of the car", "\n\n", None]
+    rows = {r["doc_id"]: r for r in license_scan.document_licenses(docs_of(spark, texts)).collect()}
+    assert [rows[i]["licenses"] for i in range(10)] == ["gpl", "bsd", "mit", "bsd,gpl", "gpl,mit", "bsd", "gpl,mit,proprietary", "unknown", "unknown", "unknown"]
+    assert [rows[i]["n_paragraphs"] for i in (0, 3, 4, 6, 7)] == [1, 2, 2, 3, 0]
+    assert [r["pos"] for r in license_scan.scan(docs_of(spark, texts[5:6])).collect()] == [3]
