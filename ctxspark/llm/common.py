@@ -8,6 +8,9 @@ import sys
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,3 +127,13 @@ def conf(spark: SparkSession, **settings):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def slices(batch, column: int, rows: int = 1024, size: int = 4_000_000):
+    """Parts of an Arrow batch, bounded in rows and in bytes of one text column (one row at least): bounds a worker's memory."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + rows], dtype=np.int64), size)))
+        yield batch.slice(at, n)
+        at += n
