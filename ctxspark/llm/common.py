@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import sys
 import tempfile
@@ -129,7 +130,14 @@ def conf(spark: SparkSession, **settings):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def slices(batch, column: int, rows: int = 1024, size: int = 4_000_000):
+def trim() -> None:
+    """Give a worker's freed memory back to the system: workers outlive their tasks, and allocators keep what was freed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batch, column: int, rows: int = 1024, size: int = 2_000_000):
     """Parts of an Arrow batch, bounded in rows and in bytes of one text column (one row at least): bounds a worker's memory."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
     at = 0
@@ -137,3 +145,4 @@ def slices(batch, column: int, rows: int = 1024, size: int = 4_000_000):
         n = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + rows], dtype=np.int64), size)))
         yield batch.slice(at, n)
         at += n
+    trim()

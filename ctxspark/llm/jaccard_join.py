@@ -3,7 +3,8 @@
 1. One pass shingles every whole text: size, class key (hash of the whole set), four minima under
    pure hash orders, the packed set, and a sketch of token frequencies over all documents.
 2. Star links: classes that share a minimum are compared with one class of that bucket only, so a
-   group of thousands of near copies costs a few links each, not all pairs.
+   group of thousands of near copies costs a few links each, not all pairs. Like all other candidates
+   they must pass the prefix filters under every order before they're verified.
 3. Completeness: under the first order (rare tokens first, then hash) two sets with Jaccard >= 0.75
    must share m tokens of their prefixes of n - ceil(0.75 n) + m tokens, for any m; m grows with n, so
    that long documents which share a few tokens by chance are no candidates. For pairs across
@@ -24,9 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import Scratch, components, free_shuffles, ship
+from .common import Scratch, components, free_shuffles, ship, slices
 
 WORDS = 5
 NUM, DEN = 75, 100
@@ -43,7 +43,6 @@ BROADCAST_KEYS = 500_000
 CROWD, TILE = 48, 1024
 #: So many of a class's crowded tokens tell tiles which pairs another one has.
 LOW_TOKENS = 64
-SLICE_ROWS = 1024
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 ROW = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("k", T.LongType())]
@@ -56,7 +55,7 @@ class WordHashes(dict):
     """Hash of each word, remembered; emptied when it grows beyond a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -137,8 +136,7 @@ def _scan(batches):
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     schema = pa.schema([(f.name, pa.int64()) for f in ROW.fields[:-3]] + [("packed", pa.binary()), ("bits", pa.binary()), ("counts", pa.list_(pa.int32()))])
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            part = batch.slice(at, SLICE_ROWS)
+        for part in slices(batch, 1):
             rows, tokens = [], []
             for text in part.column(1).cast(pa.binary()).to_pylist():
                 s = shingle_set(text, hashes)
@@ -151,7 +149,7 @@ def _scan(batches):
                     low = [int(mix(s * np.uint64(x)).min().astype(np.int64)) for x in SEEDS]
                 packed = bits = None
                 if key not in seen:
-                    if len(seen) > 200_000:
+                    if len(seen) > 100_000:
                         seen.clear()
                     seen.add(key)
                     packed, bits = pack(s), parity(s)
@@ -168,8 +166,7 @@ def _scan(batches):
 def _postings(levels: np.ndarray):
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS).to_pydict()
+            for part in map(pa.RecordBatch.to_pydict, slices(batch, 2)):
                 tokens = [prefix(unpack(x), n, levels, ORDERS[0]) for x, n in zip(part["packed"], part["n"], strict=True)]
                 if tokens:
                     sizes = [len(t) for t in tokens]
@@ -178,22 +175,22 @@ def _postings(levels: np.ndarray):
     return run
 
 
-def linked(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, levels: np.ndarray | None) -> bool:
-    """Filters under the other orders, then the exact test."""
-    if levels is not None:
-        for seed in ORDERS[1:]:
-            if len(np.intersect1d(prefix(a, n_a, levels, seed), prefix(b, n_b, levels, seed))) < min(must_share(n_a), must_share(n_b)):
-                return False
-    both = len(np.intersect1d(a, b))
+def linked(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, levels: np.ndarray) -> bool:
+    """Filters under all orders, then the exact test."""
+    for seed in ORDERS:
+        if len(np.intersect1d(prefix(a, n_a, levels, seed), prefix(b, n_b, levels, seed), assume_unique=True)) < min(must_share(n_a), must_share(n_b)):
+            return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
     return DEN * both >= NUM * (n_a + n_b - both)
 
 
-def _verify(levels: np.ndarray | None):
+def _verify(levels: np.ndarray):
     def run(batches):
         for batch in batches:
-            p = batch.to_pydict()
-            keep = [i for i in range(batch.num_rows) if linked(unpack(p["packed_a"][i]), unpack(p["packed_b"][i]), p["n_a"][i], p["n_b"][i], levels)]
-            yield pa.RecordBatch.from_arrays([pa.array([p["a"][i] for i in keep], pa.int64()), pa.array([p["b"][i] for i in keep], pa.int64())], names=["a", "b"])
+            for part in slices(batch, 4):
+                p = part.to_pydict()
+                keep = [linked(unpack(x), unpack(y), n, m, levels) for x, y, n, m in zip(p["packed_a"], p["packed_b"], p["n_a"], p["n_b"], strict=True)]
+                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -273,7 +270,7 @@ def _crowded_pairs(placed: DataFrame, sets: DataFrame, scratch: Scratch) -> Data
     return rows.mapInArrow(_tile_pairs, "a long, b long").distinct()
 
 
-def _pair_links(pairs: DataFrame, sets: DataFrame, levels: np.ndarray | None, scratch: Scratch) -> DataFrame:
+def _pair_links(pairs: DataFrame, sets: DataFrame, levels: np.ndarray, scratch: Scratch) -> DataFrame:
     """Those of pairs (a, b: class keys) that are links."""
 
     def with_both(pairs: DataFrame, column: str) -> DataFrame:
@@ -324,13 +321,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             low = minima.groupBy("o", "m").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "o", "k").alias("by"), "k", "n", "comp")).alias("rep"), F.count(F.lit(1)).alias("many")).where("many > 1")
             stars = minima.join(low, ["o", "m"]).where(F.col("comp") != F.col("rep.comp")).where(fits("n", "rep.n"))
             stars = scratch.keep(stars.select(F.col("rep.k").alias("a"), F.col("k").alias("b")).distinct(), "stars")
-            found_links = _pair_links(stars, sets, None, scratch)
+            found_links = _pair_links(stars, sets, levels, scratch)
             links = found_links if links is None else links.union(found_links)
             groups = scratch.keep(components(links, scratch), "groups")
-        by_token = Window.partitionBy("token")
-        posts = sets.drop("bits").mapInArrow(_postings(levels), "token long, k long, n long")
-        shared = posts.withColumns({"lo": F.min("k").over(by_token), "hi": F.max("k").over(by_token)}).where("lo < hi").select("token", "k", "n")
-        shared = scratch.keep(shared, "shared")
+        posts = sets.drop("bits").mapInArrow(_postings(levels), "token long, k long, n long").repartition("token")
+        several = posts.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("token").hint("shuffle_hash")
+        shared = scratch.keep(posts.join(several, "token", "left_semi"), "shared")
         free_shuffles(spark)
         placed = shared.distinct().join(groups.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
         mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")

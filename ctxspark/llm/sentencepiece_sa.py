@@ -1,6 +1,6 @@
 """SentencePiece (BPE with byte fallback) encoding by suffix-array matching, and decoding.
 
-A batch's distinct space-delimited units are concatenated and indexed by a suffix array (prefix
+A batch's distinct space-delimited units that the worker doesn't remember are concatenated and indexed by a suffix array (prefix
 doubling). Every piece of the vocabulary is binary-searched for its range of occurrences; the resulting
 edges (position, piece) are sorted by position and relaxed: in each unit the adjacent pair of symbols
 whose joint edge has the best score is merged, leftmost first, until no edge joins two symbols, which is
@@ -11,24 +11,22 @@ independent; a vocabulary that breaks this makes whole texts the units. Tokenize
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, slices
 
 BLANK = "▁"
 #: Units of more symbols than this are relaxed with a heap of their own instead of in step with others.
 LONG_UNIT = 192
-MEMO_UNITS = 300_000
-#: Bytes of new units that are indexed at once, and rows and bytes of texts encoded at once: bound a worker's memory.
-INDEX_BYTES = 700_000
-SLICE_ROWS, SLICE_BYTES = 1024, 4_000_000
+MEMO_UNITS = 150_000
+#: Bytes of new units that are indexed at once, and bytes of texts encoded at once: bound a worker's memory.
+INDEX_BYTES = 150_000
+SLICE_BYTES = 1_000_000
 
 
 class Pieces:
@@ -42,6 +40,7 @@ class Pieces:
         self.rank = np.array([s for _, _, s in known], np.float64)
         self.byte_ids = np.array(byte_ids, np.int32)
         self.unknown = unknown
+        self.span = int(self.sizes.max()) + 1  # an edge is numbered place * span + size
         self.chunks = -(-int(self.sizes.max()) // 8)
         low = np.zeros((len(known), self.chunks * 8), np.uint8)
         high = np.full_like(low, 255)
@@ -58,11 +57,14 @@ class Pieces:
 
 
 def load(model_file: str) -> Pieces:
-    """Read a SentencePiece BPE model on the driver."""
+    """Read a SentencePiece BPE model on the driver; models of another kind are refused."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     n = sp.get_piece_size()
+    probe = "ﬁ  Ａ①"  # normalisers would rewrite it
+    if sp.decode(sp.encode(probe)) != probe:
+        raise ValueError("a model that normalises texts can't be encoded with")
     byte_ids = [-1] * 256
     normal = []
     for i in range(n):
@@ -136,7 +138,7 @@ def encode_units(units: list[bytes], pieces: Pieces) -> tuple[np.ndarray, np.nda
     unit = np.repeat(np.arange(len(units)), sizes)
     inside = place + pieces.sizes[piece] <= ends[unit[place]] if len(place) else np.zeros(0, bool)
     piece, place = piece[inside], place[inside]
-    edges = place.astype(np.int64) * 64 + pieces.sizes[piece]
+    edges = place.astype(np.int64) * pieces.span + pieces.sizes[piece]
     del place, inside
     by_place = np.argsort(edges)
     edges, piece = edges[by_place], piece[by_place]
@@ -145,9 +147,9 @@ def encode_units(units: list[bytes], pieces: Pieces) -> tuple[np.ndarray, np.nda
         """The piece of an edge from start to end, -1 without one."""
         if not len(edges):
             return np.full(len(start), -1, np.int64)
-        want = start * 64 + (end - start)
+        want = start * pieces.span + (end - start)
         at = np.minimum(np.searchsorted(edges, want), len(edges) - 1)
-        return np.where((edges[at] == want) & (end - start < 64), piece[at], -1)
+        return np.where((edges[at] == want) & (end - start < pieces.span), piece[at], -1)
 
     def scores(found: np.ndarray) -> np.ndarray:
         return np.where(found >= 0, pieces.rank[found], -np.inf)
@@ -342,26 +344,38 @@ def decode(ids, pieces: Pieces) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def _slices(batch, column: int):
-    """Parts of a batch, bounded in rows and bytes, with their texts."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
-    at = 0
-    while at < batch.num_rows:
-        stop = at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + SLICE_ROWS]), SLICE_BYTES)))
-        part = batch.slice(at, stop - at)
-        yield part, part.column(column).to_pylist()
-        at = stop
+def _encoded(pieces: Pieces, column: int):
+    """A function from batches to (part of a batch, its texts, ids as a list array, number of ids of each text)."""
 
-
-def _encode_rows(pieces: Pieces):
     def run(batches):
         encoder = Encoder(pieces)
         for batch in batches:
-            for part, texts in _slices(batch, 1):
+            for part in slices(batch, column, size=SLICE_BYTES):
+                texts = part.column(column).to_pylist()
                 ids, counts = encoder.encode(texts)
-                offsets = np.concatenate(([0], np.cumsum(counts)))
-                same = [decode(ids[a:b].tolist(), pieces) == (t or "") for a, b, t in zip(offsets[:-1], offsets[1:], texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)), pa.array(same, pa.bool_())], names=["doc_id", "token_ids", "round_trip"])
+                offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                yield part, texts, ids, offsets
+
+    return run
+
+
+def _listed(ids: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+
+
+def _encode_rows(pieces: Pieces):
+    def run(batches):
+        for part, texts, ids, offsets in _encoded(pieces, 1)(batches):
+            same = [decode(ids[a:b].tolist(), pieces) == (t or "") for a, b, t in zip(offsets[:-1], offsets[1:], texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), _listed(ids, offsets), pa.array(same, pa.bool_())], names=["doc_id", "token_ids", "round_trip"])
+
+    return run
+
+
+def _rows_with_ids(pieces: Pieces):
+    def run(batches):
+        for part, _, ids, offsets in _encoded(pieces, 1)(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), _listed(ids, offsets)], names=["row", "token_ids"])
 
     return run
 
@@ -373,26 +387,19 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     not round-trip. Repeated rows stay repeated.
     """
     ship(__name__)
+    ship(f"{__package__}.common")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_encode_rows(pieces), "doc_id long, token_ids array<int>, round_trip boolean")
 
 
 def with_ids(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """All columns of docs and token_ids (in place of a column of that name). Only texts go to Python."""
+    """All columns of docs and token_ids (in place of a column of that name). Null and empty texts have no ids."""
     ship(__name__)
-
-    @F.pandas_udf("array<int>")
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(pieces)
-        for texts in batches:
-            out = []
-            for _, part in _slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"]), 0):
-                ids, counts = encoder.encode(part)
-                out += np.split(ids, np.cumsum(counts)[:-1])
-            yield pd.Series(out, dtype=object)
-
-    cols = [docs[c] for c in docs.columns if c != "token_ids"]
-    return docs.select(*cols, ids_of(docs["text"].cast("string")).alias("token_ids"))
+    ship(f"{__package__}.common")
+    kept = [docs[c] for c in docs.columns if c != "token_ids"]
+    rows = docs.select(F.struct(*kept).alias("row"), docs["text"].cast("string").alias("text"))
+    out = T.StructType([rows.schema["row"], T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(_rows_with_ids(pieces), out).select("row.*", "token_ids")
 
 
 def decode_rows(rows: DataFrame, pieces: Pieces) -> DataFrame:

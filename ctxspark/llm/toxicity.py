@@ -1,11 +1,13 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 Token scores are log-odds of occurring in a toxic against a clean document with an informative
-Dirichlet prior (the words' overall shares), lowered by one-sided confidence, so that words without
-evidence pull the score down. Every maximal segment is found in one linear scan (Ruzzo and Tompa).
+Dirichlet prior (the words' overall shares), brought towards 0 by a confidence bound; every token also
+costs a fixed amount, so that words without evidence pull the score down and clean words more so. A word
+without evidence of its own has that of its stem (its first bytes). Every maximal segment is found in one linear scan (Ruzzo and Tompa).
 The best segment of n clean words follows an extreme-value law with parameters lambda and K (Karlin and
 Altschul), fitted on clean documents that the word counts have not seen; the segments of a document are aggregated into one
-p-value by the sum statistic, and a logistic curve maps -ln p to the probability of label 1.
+p-value by the sum statistic, and a logistic curve maps -ln p to the probability of label 1. Passages are
+the segments that are significant by that law.
 """
 
 from __future__ import annotations
@@ -14,14 +16,12 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import Scratch, ship
+from .common import Scratch, ship, slices
 
 #: At most about so many labelled documents are used to fit the model (a hash of doc_id chooses them).
 TRAIN_DOCS = 50_000
@@ -30,28 +30,27 @@ PRIOR = 200.0
 BASE = 1.0
 CONFIDENCE = 2.33
 MOST = 8.0
-#: Score of every word without evidence.
+#: Score of every word without evidence; words with clean evidence score lower still.
 REST = -1.0
-#: Words below this score count like words without evidence.
-WORD_LEAST = 0.5
+#: A stem is the first so many bytes of a longer word; stems are kept beside words behind this mark.
+STEM, STEM_MARK = 6, b"\0"
 #: Segments below this score are noise and are not aggregated.
 LEAST = 1.0
 #: Normalised score (-ln of the expected number of such segments by chance) that makes a segment significant.
 SIGNIFICANT = 3.0
-#: Minima of word 3-shingles under so many hashes: of training documents that share one, the first counts.
+#: Minima of word 3-shingles under so many hashes: training documents that agree in all are copies and count once.
 COPY_HASHES = 4
 #: In the chance level, a word that also stands within so many words before counts like a word without evidence.
 REPEAT = 10
 #: Share of the training documents that is held back from the word counts to calibrate the scores.
 CALIBRATE = 0.3
-SLICE_ROWS = 1024
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @dataclass
 class ToxicityModel:
-    scores: dict[bytes, float]  # only words whose score is above the rest
+    scores: dict[bytes, float]  # words and marked stems with evidence
     rest: float
     lam: float
     k: float
@@ -97,6 +96,8 @@ def document_segments(text: bytes | None, model: ToxicityModel, damped: bool = F
     get = model.scores.get
     hits, last = [], {}
     for i, s in enumerate(map(get, found)):
+        if s is None and len(found[i]) > STEM:
+            s = get(STEM_MARK + found[i][:STEM])
         if s is not None:
             if not damped or i - last.get(found[i], -REPEAT - 1) > REPEAT:
                 hits.append((i, s))
@@ -105,12 +106,17 @@ def document_segments(text: bytes | None, model: ToxicityModel, damped: bool = F
     return len(found), [x for x in got if x[0] >= LEAST]
 
 
+def normalised(score: float, n: int, lam: float, k: float) -> float:
+    """-ln of the expected number of segments of this score or more in n clean words."""
+    return lam * score - math.log(max(k * max(n, 1), 1e-9))
+
+
 def evidence(n: int, found: list[tuple[float, int, int]], lam: float, k: float) -> float:
     """-ln p of the best sum of normalised segment scores; 0 without segments."""
     best, total = 0.0, 0.0
     for r, (score, _, _) in enumerate(sorted(found, reverse=True), 1):
-        normal = lam * score - math.log(max(k * max(n, 1), 1e-9))
-        if normal < SIGNIFICANT:
+        normal = normalised(score, n, lam, k)
+        if normal < (SIGNIFICANT if r > 1 else 0.0):  # the best one counts even where it isn't significant
             break
         total += normal
         # P(sum >= T) is about exp(-T) T^(r-1) / (r! (r-1)!); 2^-r pays for the choice of r
@@ -127,7 +133,8 @@ def _training_words(batches):
     for batch in batches:
         out = [[], []]
         for text, toxic in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for w in set(words_of(text)):
+            found = set(words_of(text))
+            for w in found | {STEM_MARK + w[:STEM] for w in found if len(w) > STEM}:
                 out[0].append(w)
                 out[1].append(toxic)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32())], names=["word", "toxic"])
@@ -179,30 +186,32 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, train=train_split) -> ToxicityModel:
     """Fit on at most about TRAIN_DOCS labelled rows for which train(doc_id) holds.
 
-    Without usable labels of both kinds the model scores every text 0.
+    Without usable labels of both kinds the model scores every text 0. A document with both labels is
+    toxic; so is the one that stands for several copies of which one is toxic.
     """
+    ship(__name__)
     with Scratch(docs.sparkSession) as scratch:
         known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(train(F.col("doc_id")))
         known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         held_back = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(100)) < int(CALIBRATE * 100)
         share = min(1.0, TRAIN_DOCS / max(1, known.count()))
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-        sample = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic", held_back.alias("held_back")))
+        sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic", held_back.alias("held_back"))
         sample = scratch.keep(sample.mapInArrow(_copy_keys, "doc_id long, text string, toxic int, held_back boolean, keys array<long>"), "labelled")
-        firsts = [F.col("doc_id") == F.min("doc_id").over(Window.partitionBy(F.col("keys")[i])) for i in range(COPY_HASHES)]
-        first = scratch.keep(sample.select("doc_id", *[f.alias(f"f{i}") for i, f in enumerate(firsts)]).where(" and ".join(f"f{i}" for i in range(COPY_HASHES))).select("doc_id").distinct(), "firsts")
-        sample = scratch.keep(sample.drop("keys").join(first, "doc_id").dropDuplicates(["doc_id"]), "sample")
+        first = scratch.keep(sample.groupBy(F.hash("keys").alias("a"), F.xxhash64("keys").alias("b")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "firsts")
+        sample = scratch.keep(sample.drop("keys", "toxic").join(first, "doc_id").dropDuplicates(["doc_id"]), "sample")
         size = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
         if not size.get(0) or not size.get(1):
             return ToxicityModel({}, -1.0, 1.0, 1.0, 0.0, -30.0)
         counts = sample.where("not held_back").select("text", "toxic").mapInArrow(_training_words, "word binary, toxic int")
         counts = scratch.keep(counts.groupBy("word").agg(F.sum("toxic").alias("y1"), F.sum(1 - F.col("toxic")).alias("y0")), "counts")
-        t1, t0 = (float(x or 0) for x in counts.agg(F.sum("y1"), F.sum("y0")).first())
+        words = ~F.startswith("word", F.lit(bytearray(STEM_MARK)))
+        t1, t0 = (float(x or 0) for x in counts.where(words).agg(F.sum("y1"), F.sum("y0")).first())
         y1, y0 = F.col("y1"), F.col("y0")
         prior = F.lit(PRIOR) * (y1 + y0) / F.lit(max(t1 + t0, 1.0)) + F.lit(BASE)
         odds = F.log((y1 + prior) / F.lit(t1 + PRIOR)) - F.log((y0 + prior) / F.lit(t0 + PRIOR))
-        score = F.least(F.lit(MOST), odds - F.lit(CONFIDENCE) * F.sqrt(1 / (y1 + prior) + 1 / (y0 + prior)))
-        rows = counts.select("word", score.alias("score")).where(F.col("score") >= WORD_LEAST).collect()  # words of a bounded sample
+        doubt = F.lit(CONFIDENCE) * F.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
+        rows = counts.select("word", F.when(odds > doubt, F.least(F.lit(MOST), odds - doubt)).when(odds < -doubt, F.lit(REST) + odds + doubt).alias("score")).where("score is not null").collect()  # words of a bounded sample
         model = ToxicityModel({bytes(r["word"]): float(r["score"]) for r in rows}, REST, 1.0, 1.0, 0.0, -30.0)
         best = sample.where("held_back and toxic = 0").select("text").mapInArrow(_best_rows(model), "n long, best double").where("n > 0").toPandas()
         over = best["best"][best["best"] >= LEAST]
@@ -226,33 +235,45 @@ def _scores(model: ToxicityModel):
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                got = [document_segments(t, model) for t in part.column(1).cast(pa.binary()).to_pylist()]
-                score = pa.array([probability(evidence(n, x, model.lam, model.k), model) for n, x in got], pa.float64())
-                spans = pa.array([[{"first": a, "last": b, "score": s} for s, a, b in x] for _, x in got], passage)
-                yield pa.RecordBatch.from_arrays([part.column(0), score, spans], names=["doc_id", "toxicity", "passages"])
+            for part in slices(batch, 1):
+                score, spans, chance = [], [], []
+                for t in part.column(1).cast(pa.binary()).to_pylist():
+                    n, found = document_segments(t, model)
+                    score.append(probability(evidence(n, found, model.lam, model.k), model))
+                    found = [(x, normal) for x in found if (normal := normalised(x[0], n, model.lam, model.k)) >= SIGNIFICANT]
+                    spans.append([{"first": a, "last": b, "score": s} for (s, a, b), _ in found])
+                    chance.append([-math.expm1(-math.exp(-normal)) for _, normal in found])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array(spans, passage), pa.array(chance, pa.list_(pa.float64()))], names=["doc_id", "toxicity", "passages", "p_values"])
 
     return run
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, toxicity (0 to 1) and passages (first and last word, score) of every row's whole text.
+    """doc_id, toxicity (0 to 1), passages (first and last word, score) and their p_values of every row's whole text.
 
-    Null, empty and wordless texts have no passages and the lowest score. Repeated rows stay repeated.
+    Only passages that are significant are listed. Null, empty and wordless texts have none and the lowest
+    score. Repeated rows stay repeated.
     """
     ship(__name__)
+    ship(f"{__package__}.common")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scores(model), "doc_id long, toxicity double, passages array<struct<first:long,last:long,score:double>>")
+    return rows.mapInArrow(_scores(model), "doc_id long, toxicity double, passages array<struct<first:long,last:long,score:double>>, p_values array<double>")
 
 
-def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns, whose text scores below the threshold."""
-    ship(__name__)
+def _toxic_texts(model: ToxicityModel, threshold: float):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                got = [document_segments(t, model) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                keep = [probability(evidence(n, x, model.lam, model.k), model) < threshold for n, x in got]
+                yield part.filter(pa.array(keep, pa.bool_())).select([0])
+
+    return run
 
-    @F.pandas_udf("double")
-    def toxicity_of(texts: pd.Series) -> pd.Series:
-        got = [document_segments(t.encode() if t else None, model) for t in texts]
-        return pd.Series([probability(evidence(n, x, model.lam, model.k), model) for n, x in got], dtype="float64")
 
-    return docs.where(toxicity_of(docs["text"].cast("string")) < threshold)
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below the threshold. Null and empty texts stay."""
+    ship(__name__)
+    ship(f"{__package__}.common")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
+    return rows.mapInArrow(_toxic_texts(model, threshold), rows.select("row").schema).select("row.*")

@@ -140,34 +140,65 @@ def test_decontamination_proximity(spark):
 
 
 def brute_lines(texts):
-    rule = re.compile(r"(?s)(?:^|\s)(?=(\S.{0,7}))")
+    """(kept text, lines kept, lines dropped) of each text, by all pairs of lines with the 8-character windows at every position."""
+    blanks = " \t\r\x0b\x0c"
     at = defaultdict(list)
     for d, t in enumerate(texts):
         for p, line in enumerate((t or "").split("\n")):
-            if line.strip():
-                at[line.strip().lower()].append((d, p))
+            if line.strip(blanks):
+                at[line.strip(blanks).lower()].append((d, p))
     names = list(at)
-    sets = [set(rule.findall(n)) for n in names]
-    links = [(i, j) for i in range(len(names)) for j in range(i) if 100 * (c := len(sets[i] & sets[j])) >= 75 * (len(sets[i]) + len(sets[j]) - c)]
+    sets = [{n[i : i + 8] for i in range(max(1, len(n) - 7))} for n in names]
+    links = []
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 4 * min(len(x), len(sets[j])) >= 3 * max(len(x), len(sets[j])) and 100 * (c := len(x & sets[j])) >= 75 * (len(x) + len(sets[j]) - c):
+                links.append((i, j))
     groups = defaultdict(list)
     for n, c in zip(names, union_find(len(names), links)):
         groups[c] += at[n]
     keep = {min(v) for v in groups.values()}
-    return {d: "\n".join(x for p, x in enumerate((t or "").split("\n")) if not x.strip() or (d, p) in keep) for d, t in enumerate(texts)}
+    out = {}
+    for d, t in enumerate(texts):
+        lines = list(enumerate((t or "").split("\n")))
+        full = {p for p, x in lines if x.strip(blanks)}
+        gone = {p for p in full if (d, p) not in keep}
+        out[d] = "\n".join(x for p, x in lines if p not in gone), len(full - gone), len(gone)
+    return out
 
 
 def test_line_dedup(spark, documents):
     line = "the quick brown fox jumps over the lazy dog near the old river bank today"
-    texts = [t for t in AWKWARD if t is None or len(t) < 6000] + [line, "x\n" + line.replace("lazy", "busy") + "\n\nend", line.upper(), "x"] + [r["text"] for r in documents.orderBy("doc_id").limit(60).collect()]
+    texts = [*AWKWARD, line, "x\n" + line.replace("quick", "quack") + "\n\nend", line.upper(), "x", "https://example.com/a/1", "https://other.org/zzz", "item-00001\nitem-00002", "foo\rbar\nfoo", "\u4e2d" * 30, "".join(map(chr, range(0x4E00, 0x4E40)))]
+    texts += [r["text"] for r in documents.orderBy("doc_id").limit(60).collect()]
     df = docs_of(spark, texts)
     out = line_dedup.dedup_lines(df)
     assert out.columns == [*df.columns, "line_dedup"]
     rows = {r["doc_id"]: r for r in out.collect()}
-    assert {d: r["text"] for d, r in rows.items()} == brute_lines(texts)
+    want = brute_lines(texts)
+    assert {d: (r["text"], r["line_dedup"]["n_lines"], r["line_dedup"]["n_dropped"]) for d, r in rows.items()} == want
     assert all(r["n_chars"] == len(r["text"]) for r in rows.values())
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
     again = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df.union(df)).collect()}
     assert again == {d: r["text"] for d, r in rows.items()}  # repeated rows are one document
+    clash = line_dedup.dedup_lines(df.withColumn("line_dedup", F.lit(1)))
+    assert clash.columns == [*df.columns, "line_dedup"] and clash.where("line_dedup.n_dropped > 0").count() == sum(n > 0 for _, _, n in want.values())
+    assert line_dedup.drop_repeats(df.withColumn("line_dedup", F.lit(1))).columns == [*df.columns, "line_dedup"]
+
+
+def test_line_dedup_recall():
+    """Lines with one character changed share a band whenever their windows are alike enough."""
+    rng = np.random.default_rng(3)
+    seen = found = 0
+    for _ in range(600):
+        a = "".join(rng.choice(list("abcdefghijklmnop "), 90))
+        at = int(rng.integers(0, 90))
+        b = a[:at] + "Z" + a[at + 1 :]
+        x, y = ({t[i : i + 8] for i in range(83)} for t in (a, b))
+        if 100 * len(x & y) >= 75 * len(x | y):
+            seen += 1
+            found += bool((line_dedup.band_keys([a])[0] == line_dedup.band_keys([b])[0]).any())
+    assert seen > 500 and found / seen >= 0.97
 
 
 def held_out_auc(rows):
