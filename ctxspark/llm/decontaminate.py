@@ -17,14 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, ship, slices
 
 WINDOW = 10
 #: Words of a block of items: bounds the vocabulary that is sent to every executor.
 BLOCK_WORDS = 200_000
 #: Share of a window's distinct terms that must stand around its rarest term for a proximity match.
 NEAR = 0.8
-SLICE_ROWS = 1024
 #: ASCII bytes that are not in [0-9A-Za-z] become blanks, A-Z become a-z; other bytes stay.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -53,8 +52,8 @@ def _frequencies(ids: dict[bytes, int]):
         counts = np.zeros(len(ids) + 1, np.int64)
         get = ids.get
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                got = [x for text in _texts(batch.slice(at, SLICE_ROWS), 0) for x in map(get, words_of(text)) if x]
+            for part in slices(batch, 0, size=500_000):
+                got = [x for text in _texts(part, 0) for x in map(get, words_of(text)) if x]
                 counts += np.bincount(np.array(got, np.int64), minlength=len(counts))
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["term", "n"])
@@ -89,8 +88,7 @@ def _index(ids: dict[bytes, int], anchor: np.ndarray):
         get = ids.get
         around = np.arange(-WINDOW + 1, WINDOW)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch, 2):
                 uids = part.column(0).to_numpy()
                 sizes, own, terms, places, context = [], [], [], [], []
                 for uid, text in zip(uids, _texts(part, 2), strict=True):

@@ -1,17 +1,18 @@
 """Licence scans of paragraphs, DataFrame functions only.
 
 A multinomial logistic regression with an L1 penalty over word 1- and 2-grams is trained on the driver
-from the statements below (short notices of each family, and unrelated or other legal prose as class
-`unknown`). A paragraph without any anchor (a 1- or 2-gram that the training gave weight to and that only
-licence notices hold) is unknown by definition; others are scored by joining their n-grams with the sparse
-weights. A family is reported if its calibrated probability reaches THRESHOLD and enough of one of the
-family's notices is in the paragraph. Each line is scanned as a paragraph of its own first; then the lines
-left between lines with a notice and lines without words are scanned together, for notices that are wrapped.
+from the statements below (notices of each family, and unrelated or other legal prose as class `unknown`).
+A paragraph without any anchor (a 1- or 2-gram with a word of MARKERS to which the training gave weight and
+that the other prose doesn't hold) is unknown by definition; others are scored by joining their n-grams
+with the sparse weights. Probabilities are calibrated on notices that the fit has not seen. A family is
+reported if its probability reaches THRESHOLD and enough of one of the family's notices is in the
+paragraph. Each line is scanned as a paragraph of its own first; then the lines left between lines with a
+notice and lines without words are scanned together, for notices that are wrapped. Only texts that hold a
+marker leave the scan, so that little but they is shuffled.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from functools import lru_cache
 
@@ -26,22 +27,32 @@ THRESHOLD = 0.5
 CONFIRM = 0.6
 #: Up to so many documents' notice lines are broadcast; above, it is a shuffled join.
 BROADCAST_KEYS = 500_000
-STEPS, RATE, L1 = 400, 0.5, 2e-4
+STEPS, RATE, L1, FOLDS = 300, 0.5, 2e-4, 4
 UNKNOWN = "unknown"
 
-# Usual short notices of licence families, in our own selection.
+# Words without which nothing is a licence notice.
+MARKERS = ["agpl", "apache", "boost", "confidential", "copyright", "eupl", "gpl", "gplv2", "gplv3", "lgpl", "licence", "licensed", "license", "licenses", "mozilla", "permission", "permitted", "proprietary", "public domain", "redistribute", "redistribution", "rights reserved", "spdx", "unencumbered", "unlicense", "warranty", "wtfpl"]
+# Usual notices of licence families, in our own selection.
 NOTICES: dict[str, list[str]] = {
-    "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the terms of the MIT license.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache 2.0 license."],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "Licensed under the GPL version 2 or later.", "SPDX-License-Identifier: GPL-3.0-only", "Released under the GPLv3."],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later", "Released under the LGPL."],
-    "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "Released under the AGPL."],
-    "bsd": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-2-Clause", "Released under the BSD license."],
+    "mit": ["Licensed under the MIT License.", "This project is licensed under the terms of the MIT license.", "SPDX-License-Identifier: MIT", "MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+    "apache": ["Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache 2.0 license.", "Apache License Version 2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
+    "gpl": ["Licensed under the GNU General Public License v3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "GNU GENERAL PUBLIC LICENSE Version 3", "GNU GENERAL PUBLIC LICENSE Version 2", "Licensed under the GPL version 2 or later.", "SPDX-License-Identifier: GPL-3.0-only", "Released under the GPLv3."],
+    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1-or-later", "Released under the LGPL."],
+    "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "You should have received a copy of the GNU Affero General Public License along with this program.", "SPDX-License-Identifier: AGPL-3.0-only", "Released under the AGPL."],
+    "bsd": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "SPDX-License-Identifier: BSD-2-Clause", "Released under the BSD license."],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC License", "Licensed under the ISC license.", "SPDX-License-Identifier: ISC"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "Licensed under the Mozilla Public License 2.0."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC-SA 4.0."],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY-SA 4.0."],
-    "public-domain": ["This work is dedicated to the public domain.", "Released into the public domain under CC0 1.0.", "This is free and unencumbered software released into the public domain."],
-    "proprietary": ["All rights reserved.", "Copyright 2020 by the authors. All rights reserved.", "Unauthorized copying of this file is strictly prohibited. Proprietary and confidential."],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0", "SPDX-License-Identifier: EPL-2.0", "Licensed under the Eclipse Public License, version 1.0."],
+    "eupl": ["Licensed under the EUPL, Version 1.2 or later.", "Licensed under the European Union Public Licence.", "SPDX-License-Identifier: EUPL-1.2"],
+    "boost": ["Distributed under the Boost Software License, Version 1.0.", "Boost Software License", "SPDX-License-Identifier: BSL-1.0"],
+    "zlib": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Licensed under the zlib license.", "SPDX-License-Identifier: Zlib"],
+    "artistic": ["This package is free software; you may redistribute it under the terms of the Artistic License 2.0.", "Licensed under the Artistic License.", "SPDX-License-Identifier: Artistic-2.0"],
+    "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "This work is licensed under CC BY-NC 4.0 International.", "Licensed under CC BY-NC-SA 3.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-4.0"],
+    "public-domain": ["This work is dedicated to the public domain.", "Released into the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense", "Released under the Unlicense."],
+    "wtfpl": ["Do What The Fuck You Want To Public License", "Licensed under the WTFPL.", "SPDX-License-Identifier: WTFPL"],
+    "proprietary": ["All rights reserved worldwide.", "Copyright 2020 Example Inc. All rights reserved worldwide.", "Unauthorized copying of this file is strictly prohibited. Proprietary and confidential.", "No part of this publication may be reproduced without the prior written permission of the publisher."],
 }
 # Prose that is no licence notice but shares words with some.
 OTHER: list[str] = [
@@ -64,73 +75,104 @@ def plain_terms(text: str) -> set[str]:
     return set(words) | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
 
 
-@lru_cache(maxsize=1)
-def model() -> tuple[list[str], dict[str, np.ndarray], np.ndarray, list[str]]:
-    """(families, weights of each n-gram, biases, anchor n-grams); weights are rounded to 4 digits."""
-    families = sorted(NOTICES)
-    labels = [*families, UNKNOWN]
-    samples = [(plain_terms(t), labels.index(f)) for f in families for t in NOTICES[f]]
-    # a notice inside other prose is still a notice, and single words of it are none
-    samples += [(plain_terms(t) | plain_terms(o), labels.index(f)) for f in families for t in NOTICES[f] for o in OTHER[:3]]
-    samples += [(plain_terms(t), len(families)) for t in OTHER]
-    vocabulary = sorted({x for s, _ in samples for x in s})
-    place = {x: i for i, x in enumerate(vocabulary)}
-    x = np.zeros((len(samples), len(vocabulary)))
-    y = np.zeros((len(samples), len(labels)))
-    for row, (s, label) in enumerate(samples):
-        x[row, [place[t] for t in s]] = 1
-        y[row, label] = 1
-    balance = (1 / y.sum(0))[y.argmax(1)]
+def _samples() -> list[tuple[set[str], str, int]]:
+    """(n-grams, family, number of the notice within its family; -1 for other prose) of the training texts."""
+    out = []
+    for f in sorted(NOTICES):
+        for i, t in enumerate(NOTICES[f]):
+            # a notice inside other prose is still a notice, and single words of it are none
+            out += [(plain_terms(t), f, i), *((plain_terms(t) | plain_terms(o), f, i) for o in OTHER[:3])]
+    return out + [(plain_terms(t), UNKNOWN, -1 - i) for i, t in enumerate(OTHER)]
+
+
+def _matrix(samples, place: dict[str, int]) -> np.ndarray:
+    x = np.zeros((len(samples), len(place)), np.float32)
+    for row, (s, *_) in enumerate(samples):
+        x[row, [place[t] for t in s if t in place]] = 1
+    return x
+
+
+def _fit(x: np.ndarray, label: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases by proximal gradient steps; every class weighs the same."""
+    y = np.eye(n, dtype=np.float32)[label]
+    balance = (1 / np.maximum(y.sum(0), 1))[label]
     balance /= balance.sum()
-    w, b = np.zeros((x.shape[1], len(labels))), np.zeros(len(labels))
-    for _ in range(STEPS):  # proximal gradient steps
+    w, b = np.zeros((x.shape[1], n), np.float32), np.zeros(n, np.float32)
+    for _ in range(STEPS):
         z = x @ w + b
         p = np.exp(z - z.max(1, keepdims=True))
-        d = (p / p.sum(1, keepdims=True) - y) * balance[:, None]
+        d = (p / p.sum(1, keepdims=True) - y) * balance[:, None].astype(np.float32)
         w -= RATE * (x.T @ d)
         w = np.sign(w) * np.maximum(np.abs(w) - RATE * L1, 0)
         b -= RATE * d.sum(0)
-    w, b = w.round(4), b.round(4)
+    return w, b
+
+
+@lru_cache(maxsize=1)
+def model() -> tuple[list[str], dict[str, np.ndarray], np.ndarray, list[str]]:
+    """(families, weights of each n-gram, biases, anchor n-grams); weights are rounded to 4 digits."""
+    families = sorted(NOTICES)
+    labels = [*families, UNKNOWN]
+    samples = _samples()
+    place = {t: i for i, t in enumerate(sorted({t for s, *_ in samples for t in s}))}
+    w, b = _fit(_matrix(samples, place), np.array([labels.index(f) for _, f, _ in samples]), len(labels))
+    w, b = w.astype(float).round(4), b.astype(float).round(4)
     other = {t for o in OTHER for t in plain_terms(o)}
     used = {t: w[i] for t, i in place.items() if np.abs(w[i]).max() > 0}
-    anchors = sorted(t for t in used if t not in other and used[t][:-1].max() >= 0.1 and len(max(re.findall("[a-z]+", t), default="", key=len)) > 2)
+    marked = lambda t: any(f" {m} " in f" {t} " for m in MARKERS)
+    anchors = sorted(t for t in used if marked(t) and t not in other)
     return families, used, b, anchors
 
 
 @lru_cache(maxsize=1)
 def temperature() -> float:
-    """Divides the scores so that held-out notices (each left out of its family in turn by its closest
-    words) are about as often right as their probability says: the mean margin is brought to ln 20."""
-    families, weights, bias, _ = model()
-    margins = []
-    for f in families:
-        for text in NOTICES[f]:
-            z = bias + sum((weights[t] for t in plain_terms(text) if t in weights), np.zeros(len(bias)))
-            own = families.index(f)
-            margins.append(z[own] - np.delete(z, own).max())
-    return max(0.05, float(np.median(margins)) / math.log(20))
+    """Divides the scores so that notices the fit has not seen are as often right as their probability says.
+
+    In each fold every FOLDS-th notice of each family (and text of the other prose) is left out; the
+    temperature with the highest likelihood of the left-out texts' labels is taken.
+    """
+    labels = [*sorted(NOTICES), UNKNOWN]
+    samples = _samples()
+    place = {t: i for i, t in enumerate(sorted({t for s, *_ in samples for t in s}))}
+    x, y = _matrix(samples, place), np.array([labels.index(f) for _, f, _ in samples])
+    fold = np.array([i % FOLDS for *_, i in samples])
+    scores = np.zeros((len(samples), len(labels)))
+    for k in range(FOLDS):
+        w, b = _fit(x[fold != k], y[fold != k], len(labels))
+        scores[fold == k] = x[fold == k] @ w + b
+    heats = [0.2 * 1.15**i for i in range(24)]
+
+    def loss(heat: float) -> float:
+        z = scores / heat
+        z -= z.max(1, keepdims=True)
+        return float((np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), y]).mean())
+
+    return round(min(heats, key=loss), 6)
 
 
 def _key() -> Column:
     return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("ord"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"))
 
 
-def _gate() -> str:
-    """Cheap first test: an anchor's longest word; case-insensitive in ASCII."""
-    words = sorted({re.escape(max(a.split(" "), key=len)) for a in model()[3]})
-    return r"(?i)(?<![a-z])(?:" + "|".join(words) + r")(?![a-z])"
+def _gate(text: Column) -> Column:
+    """Cheap first test, true of any text with an anchor: it holds the longest word of a marker."""
+    low = F.lower(text)
+    test = F.lit(False)
+    for word in sorted({max(m.split(), key=len)[:7] for m in MARKERS}):
+        test = test | low.contains(word)
+    return test
 
 
 def _anchored(rows: DataFrame) -> DataFrame:
     """Rows whose paragraph holds an anchor, with its terms."""
-    rows = rows.where(F.col("paragraph").rlike(_gate())).withColumn("terms", terms_of(F.col("paragraph")))
+    rows = rows.where(_gate(F.col("paragraph"))).withColumn("terms", terms_of(F.col("paragraph")))
     return rows.where(F.arrays_overlap("terms", F.array(*[F.lit(a) for a in model()[3]])))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """key, pos, paragraph, terms of lines that hold an anchor."""
     text = F.col("text").cast("string")
-    return _anchored(docs.where(text.rlike(_gate())).select(_key().alias("key"), F.posexplode(F.split(text, "\n")).alias("pos", "paragraph")))
+    return _anchored(docs.where(_gate(text)).select(_key().alias("key"), F.posexplode(F.split(text, "\n")).alias("pos", "paragraph")))
 
 
 def wrapped(docs: DataFrame, confirmed: DataFrame) -> DataFrame:
@@ -141,7 +183,7 @@ def wrapped(docs: DataFrame, confirmed: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     done = confirmed.groupBy("key").agg(F.collect_set("pos").alias("done"))
     done = F.broadcast(done) if done.count() <= BROADCAST_KEYS else done
-    rows = docs.where(text.contains("\n")).where(text.rlike(_gate())).select(_key().alias("key"), F.split(text, "\n").alias("lines")).join(done, "key", "left")
+    rows = docs.where(text.contains("\n")).where(_gate(text)).select(_key().alias("key"), F.split(text, "\n").alias("lines")).join(done, "key", "left")
     ends = lambda x, i: ~x.rlike(r"[\p{L}\p{N}]") | F.coalesce(F.array_contains("done", i), F.lit(False))
     rows = rows.select("key", F.transform("lines", lambda x, i: F.when(ends(x, i), F.lit("")).otherwise(x)).alias("own"))
     starts = F.filter(F.transform("own", lambda x, i: F.when((x != "") & ((i == 0) | (F.get("own", i - 1) == "")), i)), lambda i: i.isNotNull())

@@ -131,17 +131,18 @@ def train_split(doc_id):
 
 def _training_words(batches):
     for batch in batches:
-        out = [[], []]
-        for text, toxic in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = set(words_of(text))
-            for w in found | {STEM_MARK + w[:STEM] for w in found if len(w) > STEM}:
-                out[0].append(w)
-                out[1].append(toxic)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32())], names=["word", "toxic"])
+        for part in slices(batch, 0, size=500_000):
+            out = [[], []]
+            for text, toxic in zip(part.column(0).cast(pa.binary()).to_pylist(), part.column(1).to_pylist(), strict=True):
+                found = set(words_of(text))
+                for w in found | {STEM_MARK + w[:STEM] for w in found if len(w) > STEM}:
+                    out[0].append(w)
+                    out[1].append(toxic)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32())], names=["word", "toxic"])
 
 
 def _copy_keys(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1, size=500_000)):
         keys = []
         for text in batch.column(1).cast(pa.binary()).to_pylist():
             found = words_of(text)
@@ -152,7 +153,7 @@ def _copy_keys(batches):
 
 def _evidence_rows(model: ToxicityModel):
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0, size=500_000)):
             got = [document_segments(t, model) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([evidence(n, x, model.lam, model.k) for n, x in got], pa.float64()), batch.column(1).cast(pa.int32())], names=["e", "toxic"])
 
@@ -161,7 +162,7 @@ def _evidence_rows(model: ToxicityModel):
 
 def _best_rows(model: ToxicityModel):
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0, size=500_000)):
             got = [document_segments(t, model, damped=True) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([max((s for s, _, _ in x), default=0.0) for _, x in got], pa.float64())], names=["n", "best"])
 
@@ -190,6 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, train=train_split) -> ToxicityModel:
     toxic; so is the one that stands for several copies of which one is toxic.
     """
     ship(__name__)
+    ship(f"{__package__}.common")
     with Scratch(docs.sparkSession) as scratch:
         known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(train(F.col("doc_id")))
         known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
