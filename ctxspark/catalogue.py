@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,6 +30,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stored indexes by application, folder, and size and time of the documents' files.
+_INDEXES: dict[tuple, str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    """The inverted index of documents, written at the first search and again after the table has changed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    status = files.getContentSummary(path)
+    key = spark.sparkContext.applicationId, sf_dir, status.getLength(), files.getFileStatus(path).getModificationTime()
+    if key not in _INDEXES:
+        folder = f"{ingest.fresh_folder(spark)}/bm25"
+        bm25.write_index(bm25.corpus(table(spark, sf_dir, "documents"), "doc_id", "text"), folder)
+        _INDEXES[key] = folder
+    return bm25.read_index(spark, _INDEXES[key])
+
+
 # ---------------------------------------------------------------- ranking
 
 SEARCH_TEXT = "the then erthhand para que oulyan einander nicht"
@@ -50,14 +68,12 @@ bm AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score
 
 @query(f"WITH q AS (SELECT 0::BIGINT AS query_id, '{SEARCH_TEXT}' AS text), {BM25_CTES} SELECT query_id, rank::INT AS rank, id, score FROM bm WHERE rank <= 20")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = bm25.corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return bm25.search(corpus, spark.createDataFrame([(0, SEARCH_TEXT)], "query_id long, text string"), 20)
+    return bm25.search_index(stored_index(spark, sf_dir), spark.createDataFrame([(0, SEARCH_TEXT)], "query_id long, text string"), 20)
 
 
 @query(f"WITH q AS (SELECT item_id AS query_id, text FROM benchmark), {BM25_CTES} SELECT query_id, rank::INT AS rank, id, score FROM bm WHERE rank <= 10")
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = bm25.corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return bm25.search(corpus, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+    return bm25.search_index(stored_index(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
 
 
 @query(f"""WITH q AS (SELECT 0 AS query_id, 'x' AS text), {BM25_CTES},
@@ -120,7 +136,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     n = hybrid.candidates(10)
     sem = vectors.topk(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), n).select(F.lit(0).cast("long").alias("query_id"), "id", "score")
-    bm = bm25.search(bm25.corpus(docs, "doc_id", "text"), spark.createDataFrame([(0, SEARCH_TEXT)], "query_id long, text string"), n)
+    bm = bm25.search_index(stored_index(spark, sf_dir), spark.createDataFrame([(0, SEARCH_TEXT)], "query_id long, text string"), n)
     symbols = docs.select(F.col("source").alias("symbol_id"), F.col("source").alias("name"), F.col("source").alias("file")).distinct()
     sy = hybrid.symbol_leg(spark.createDataFrame([(0, "src1")], "query_id long, text string"), symbols, docs.select(F.col("doc_id").alias("id"), F.col("source").alias("file")))
     return hybrid.fuse({"semantic": sem, "bm25": bm, "symbol": sy})
@@ -186,10 +202,14 @@ def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.content_hash(masking.mask(made)).alias("hash"), text.token_count(made).alias("token_count"))
 
 
-@query("SELECT page_id, CASE WHEN lower(regexp_extract(p, '[^/](\\.[^./]*)$', 1)) IN ('.html', '.htm') THEN 'html' ELSE 'unknown' END AS language FROM (SELECT page_id, regexp_extract(url, '://[^/?#]*/([^?#]*)', 1) AS p FROM pages)")
+#: Endings that page paths are given in turn, and their languages.
+ENDINGS = [(".py", "python"), (".TS", "typescript"), (".tsx", "tsx"), (".js", "javascript"), (".jsx", "jsx"), (".php", "php"), (".cs", "csharp"), (".sql", "sql"), (".vue", "unknown"), (".json", "json"), (".yaml", "yaml"), (".md", "markdown"), (".css", "css"), (".html", "html"), (".sh", "shell"), (".none", "unknown"), ("", "unknown")]
+
+
+@query("SELECT page_id, CASE page_id % " + str(len(ENDINGS)) + " " + " ".join(f"WHEN {i} THEN '{lang}'" for i, (_, lang) in enumerate(ENDINGS)) + " END AS language FROM pages")
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.regexp_extract("url", "://[^/?#]*/([^?#]*)", 1)
-    return table(spark, sf_dir, "pages").select("page_id", paths.language_of(path).alias("language"))
+    ending = F.element_at(F.array(*[F.lit(e) for e, _ in ENDINGS]), (F.col("page_id") % len(ENDINGS) + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", paths.language_of(F.concat(F.lit("dir.x/page"), ending)).alias("language"))
 
 
 @query("SELECT page_id FROM pages WHERE regexp_matches(regexp_extract(url, '://[^/?#]*/([^?#]*)', 1), '^en/(.*/)?[^/]*[0-9]\\.html(/.*)?$')")
@@ -315,7 +335,17 @@ def graph_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT [e1.src, e1.dst, e2.dst, e3.dst] AS path FROM e e1 JOIN e e2 ON e1.dst = e2.src JOIN e e3 ON e2.dst = e3.src WHERE e1.src = 'l1' AND e3.dst = 'r1'), m AS (SELECT min(path) AS path FROM p)
 SELECT (i - 1)::INT AS step, path[i] AS node FROM m, unnest(range(1, 5)) AS t(i) WHERE path IS NOT NULL""")
 def graph_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.shortest_path(_edges(spark, sf_dir), "l1", "r1", 6)
+    return graph.shortest_path(_edges(spark, sf_dir), "l1", "r1")
+
+
+@query("WITH RECURSIVE e AS (SELECT event_id AS a, event_id + 1 AS b FROM events WHERE event_id <= 40), p AS (SELECT 0 AS step, 1::BIGINT AS here UNION ALL SELECT step + 1, b FROM p JOIN e ON a = here) SELECT step::INT AS step, 'e' || here AS node FROM p")
+def graph_long_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of 40 steps with a shorter dead end and a cycle beside it."""
+    own = table(spark, sf_dir, "events").where("event_id between 1 and 40").select("event_id")
+    edge = lambda a, b: own.select(F.concat(F.lit("e"), a).alias("src"), F.concat(F.lit("e"), b).alias("dst"))
+    chain = edge(F.col("event_id"), F.col("event_id") + 1)
+    edges = chain.union(edge(F.col("event_id"), F.greatest(F.col("event_id") - 3, F.lit(1)))).union(edge(F.col("event_id"), F.col("event_id") + 5000000))
+    return graph.shortest_path(edges, "e1", "e41")
 
 
 @query(f"WITH {EDGES_SQL}, g AS (SELECT DISTINCT src, dst FROM e) SELECT (SELECT count(*) FROM (SELECT src FROM g UNION SELECT dst FROM g UNION SELECT 'p' || p_partkey FROM part)) AS nodes, (SELECT count(*) FROM g) AS edges")
@@ -324,20 +354,19 @@ def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.counts(_edges(spark, sf_dir).select("src", "dst").distinct(), nodes)
 
 
-@query("""WITH r AS (SELECT l_orderkey::VARCHAR AS source, 'p' || l_partkey AS target_name, l_linenumber AS seq, l_returnflag AS type FROM lineitem),
-i AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY p_name),
-n AS (SELECT r.*, coalesce(i.id::VARCHAR, 'unresolved::' || coalesce(p.p_name, r.target_name)) AS target FROM r LEFT JOIN part p ON r.target_name = 'p' || p.p_partkey LEFT JOIN i ON i.name = p.p_name AND p.p_size > 5)
-SELECT source AS src, target AS dst, arg_max(type, seq * 1000000 + hash_key) AS type FROM (SELECT *, 0 AS hash_key FROM n) GROUP BY source, target HAVING count(*) = 1
-""")
+@query("""WITH r AS (SELECT l_orderkey::VARCHAR AS src, CASE WHEN p_size > 5 THEN p_name ELSE '?' || p_name END AS target_name, l_returnflag AS type, l_linenumber * 1000 + ascii(l_returnflag) AS seq FROM lineitem JOIN part ON l_partkey = p_partkey),
+i AS (SELECT p_name AS name, min(p_partkey)::VARCHAR AS id FROM part GROUP BY p_name),
+n AS (SELECT src, coalesce(i.id, 'unresolved::' || target_name) AS dst, type, seq FROM r LEFT JOIN i ON i.name = r.target_name)
+SELECT src, dst, arg_max(type, seq) AS type, count(*) AS n_relationships FROM n GROUP BY src, dst""")
 def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relationships by part name resolved to the first part of that name (parts of size 5 and less are unknown)."""
+    """Relationships by part name resolved to the first part of that name (names of parts of size 5 and less are unknown); of several on one pair the last counts."""
     parts = table(spark, sf_dir, "part")
-    rel = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
-    rel = rel.select(F.col("l_orderkey").cast("string").alias("source_symbol_id"), F.lit(None).cast("string").alias("target_symbol_id"), F.when(F.col("p_size") > 5, F.col("p_name")).otherwise(F.concat(F.lit("?"), F.coalesce("p_name", F.concat(F.lit("p"), "l_partkey")))).alias("target_name"), F.col("l_returnflag").alias("relationship_type"), F.lit(1.0).alias("confidence"), F.col("l_linenumber").alias("seq"))
+    rel = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    rel = rel.select(F.col("l_orderkey").cast("string").alias("source_symbol_id"), F.lit(None).cast("string").alias("target_symbol_id"), F.when(F.col("p_size") > 5, F.col("p_name")).otherwise(F.concat(F.lit("?"), "p_name")).alias("target_name"), F.col("l_returnflag").alias("relationship_type"), F.lit(1.0).alias("confidence"), (F.col("l_linenumber") * 1000 + F.ascii("l_returnflag")).alias("seq"))
     symbols = parts.select(F.col("p_partkey").cast("string").alias("id"), F.lit("").alias("file_path"), F.col("p_partkey").alias("line_start"), F.col("p_name").alias("name"), F.col("p_name").alias("qualified_name"))
-    resolved = graph.resolve(rel, graph.name_index(symbols)).withColumn("target_symbol_id", F.regexp_replace("target_symbol_id", r"^unresolved::\?", graph.UNRESOLVED))
-    once = resolved.groupBy("source_symbol_id", "target_symbol_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-    return graph.edges_of(resolved.join(once, ["source_symbol_id", "target_symbol_id"])).select("src", "dst", "type")
+    resolved = graph.resolve(rel, graph.name_index(symbols))
+    count = resolved.groupBy(F.col("source_symbol_id").alias("src"), F.col("target_symbol_id").alias("dst")).agg(F.count(F.lit(1)).alias("n_relationships"))
+    return graph.edges_of(resolved).select("src", "dst", "type").join(count, ["src", "dst"])
 
 
 @query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages)
@@ -377,11 +406,11 @@ def memory_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.evicted(_memories(spark, sf_dir)).select("id", "category")
 
 
-@query(f"WITH {MEMORIES} SELECT id, category FROM m WHERE updated_at < (SELECT max(updated_at) FROM m) - INTERVAL 1 DAY AND access_count < 3")
+@query(f"WITH {MEMORIES} SELECT id, category FROM m WHERE updated_at < (SELECT max(updated_at) FROM m) - INTERVAL 6 HOUR AND access_count < 3")
 def memory_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _memories(spark, sf_dir)
     now = rows.agg(F.max("updated_at")).first()[0]
-    return memory.stale(rows, F.lit(now), days=1).select("id", "category")
+    return memory.stale(rows, F.lit(now), days=0.25).select("id", "category")
 
 
 # ---------------------------------------------------------------- order-dependent operators
@@ -443,22 +472,31 @@ def chunk_fixture_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_files(files, parsing.parse_files(files), chunking.Sizes(5, 20, 60, 5)).select("id", "file_path", "symbol_name", "symbol_type", "line_start", "line_end", "hash", "token_count", "chunk_index")
 
 
-@query()
-def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole document cut at line ends into segments of at most 120 tokens with an overlap of 20."""
-    split = F.udtf(_Segments, returnType="segment int, first_line int, token_count int, hash string")
-    spark.udtf.register("ctx_segments", split)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs.createOrReplaceTempView("ctx_segment_docs")
-    return spark.sql("SELECT doc_id, s.* FROM ctx_segment_docs, LATERAL ctx_segments(text) s")
+SPLIT_SQL = """WITH RECURSIVE t AS (SELECT doc_id, text, greatest(1, length(text) // 4) AS size, string_split(text, chr(10)) AS x FROM documents),
+d AS (SELECT doc_id, l, list_transform(range(0, len(l) + 1), lambda i: coalesce(list_sum(list_transform(l[1:i], lambda y: greatest(1, length(y) // 4))), 0)) AS cs, len(l) AS n
+  FROM (SELECT doc_id, list_concat(list_transform(x[1:len(x) - 1], lambda y: y || chr(10)), CASE WHEN x[len(x)] <> '' THEN [x[len(x)]] ELSE [] END) AS l FROM t WHERE size > 120)),
+r AS (
+  SELECT doc_id, 0 AS segment, 0::BIGINT AS b, coalesce(list_min(list_filter(range(1, n), lambda i: cs[i + 2] > 120)), n) AS e FROM d
+  UNION ALL
+  SELECT s.doc_id, segment + 1, nb, coalesce(list_min(list_filter(range(e + 1, n), lambda i: cs[i + 2] - cs[nb + 1] > 120)), n)
+  FROM (SELECT r.*, d.n, d.cs, list_min(list_filter(range(r.b, r.e + 1), lambda j: d.cs[r.e + 1] - d.cs[j + 1] <= 20)) AS nb FROM r JOIN d USING (doc_id) WHERE r.e < d.n) s),
+o AS (SELECT doc_id, segment, b AS first_line, array_to_string(l[b + 1:e], '') AS part FROM r JOIN d USING (doc_id) UNION ALL SELECT doc_id, 0, 0, text FROM t WHERE size <= 120)
+SELECT doc_id, segment::INT AS segment, first_line::INT AS first_line, greatest(1, length(part) // 4)::INT AS token_count, md5(part) AS hash FROM o"""
 
 
-class _Segments:
-    def eval(self, text: str):
-        import hashlib
+def _segments(batches):
+    for batch in batches:
+        rows = [(d, n, first, part) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for n, (first, part) in enumerate(chunking.split_lines(text or "", 120, 20))]
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "segment", "first_line", "part"])
 
-        for n, (first, part) in enumerate(chunking.split_lines(text or "", 120, 20)):
-            yield n, first, chunking.tokens(part), hashlib.md5(part.encode()).hexdigest()
+
+@query(SPLIT_SQL)
+def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document cut at line ends into segments of at most 120 tokens with an overlap of 20."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = docs.mapInArrow(_segments, "doc_id long, segment int, first_line int, part string")
+    return parts.select("doc_id", "segment", "first_line", text.token_count(F.col("part")).alias("token_count"), text.content_hash(F.col("part")).alias("hash"))
 
 
 @query("SELECT event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY event_type")
@@ -466,3 +504,97 @@ def stream_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = ingest.fresh_folder(spark)
     stream = ingest.file_stream(spark, f"{sf_dir}/events.parque[t]", ingest.EVENTS)
     return ingest.ingest_counts(stream, "event_type", f"{folder}/parts", f"{folder}/checkpoint")
+
+
+# ---------------------------------------------------------------- paths, texts and filters on made-up values of the tables' rows
+
+def _cases(table_id: str, values: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(table_id) % len(values) + 1).cast("int"))
+
+
+def _case_sql(table_id: str, results: list) -> str:
+    said = lambda v: str(v).lower() if isinstance(v, bool) else f"'{v}'"
+    return f"CASE {table_id} % {len(results)} " + " ".join(f"WHEN {i} THEN {said(v)}" for i, v in enumerate(results)) + " END"
+
+
+#: Paths and whether they may be read (1,000 bytes each where no size is given).
+READABLE = [("src/app.py", True), ("a/.env", False), (".env.local", False), ("keys/server.pem", False), ("x/vendor/lib.php", False), ("x/vendors/lib.php", True), ("node_modules/a/b.js", False), ("img/logo.PNG", False), ("doc/readme.md", True), (".ssh/config", False), ("a/secrets/x.json", False), ("a/secretsx/x.json", True), ("lib/a.so", False), ("service-account-7.json", False), ("a.db-wal", False), ("deep/a/b/c/d.ts", True)]
+
+
+@query(f"SELECT doc_id, {_case_sql('doc_id', [ok for _, ok in READABLE])} AND doc_id % 5 <> 0 AS allowed FROM documents")
+def readable_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffixes, patterns and sizes that are never read; every fifth file is one byte too long."""
+    path = _cases("doc_id", [p for p, _ in READABLE])
+    size = F.when(F.col("doc_id") % 5 == 0, 1001).otherwise(1000)
+    return table(spark, sf_dir, "documents").select("doc_id", paths.Blocklist(max_bytes=1000).allowed_column(path, size).alias("allowed"))
+
+
+#: Patterns, and paths that they match and don't match.
+GLOBS = [("*.log", ["a.log", "x/y/b.log"], ["a.logs", "log"]), ("/build", ["build", "build/x"], ["x/build"]), ("doc/*.md", ["doc/a.md"], ["doc/x/a.md", "x/doc/a.md"]), ("a/**/z", ["a/z", "a/b/c/z"], ["b/a/z"]), ("tmp/", ["tmp/x", "q/tmp/y"], ["tmp"]), ("f[0-3]?.c", ["f1x.c", "s/f3y.c"], ["f4x.c", "f1.c"])]
+
+
+@query("SELECT page_id, " + ", ".join(f"{_case_sql('page_id', [True] * len(yes) + [False] * len(no))} AS g{i}" for i, (_, yes, no) in enumerate(GLOBS)) + " FROM pages")
+def glob_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", *[paths.glob_match(_cases("page_id", yes + no), p).alias(f"g{i}") for i, (p, yes, no) in enumerate(GLOBS)])
+
+
+@query("SELECT 'laravel' AS a, 'nextjs' AS b, 'dotnet' AS c, NULL::VARCHAR AS d FROM region WHERE r_regionkey = 0")
+def framework_of_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = {"a": ["src/x.py", "artisan", "App.sln"], "b": ["pages/_app.tsx", "src/App.tsx"], "c": ["App.sln", "x.cs"], "d": ["main.go"]}
+    found = [F.lit(paths.framework_of(spark.createDataFrame([(p,) for p in files], "path string"))).cast("string").alias(n) for n, files in trees.items()]
+    return table(spark, sf_dir, "region").where("r_regionkey = 0").select(*found)
+
+
+@query("SELECT doc_id, md5(text) AS hash FROM documents")
+def normalized_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with other line ends and bytes are the texts again."""
+    docs = table(spark, sf_dir, "documents")
+    other = F.regexp_replace("text", "\n", "\r\n")
+    return docs.select("doc_id", text.content_hash(text.normalize_source(other.cast("binary"))).alias("hash"))
+
+
+@query("SELECT doc_id, substr(text, 1, 40) AS snippet, array_to_string(string_split(text, chr(10))[2:3], chr(10)) AS body, regexp_extract('a/b.c::' || source, '[^/.:]*$') AS last FROM documents")
+def text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.snippet(t, 40).alias("snippet"), text.body_of(t, F.lit(2), F.lit(3)).alias("body"), text.last_segment(F.concat(F.lit("a/b.c::"), "source"), "/.:").alias("last"))
+
+
+_IP = "'host ' || (doc_id % 300) || '.0.2.' || (doc_id % 256) || ' port ' || doc_id"
+
+
+@query(f"SELECT doc_id, regexp_replace({_IP}, '{dict((n, p) for n, p, _ in masking.RULES)['ips']}', '[REDACTED_IP]', 'g') AS masked, len(regexp_extract_all({_IP}, '{dict((n, p) for n, p, _ in masking.RULES)['ips']}'))::BIGINT AS ips FROM documents")
+def pii_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that is off by default."""
+    host = F.expr(_IP)
+    others = {n for n, _, _ in masking.RULES if n != "ips"}
+    return table(spark, sf_dir, "documents").select("doc_id", masking.mask(host, others).alias("masked"), masking.mask_counts(host, others)["ips"].cast("long").alias("ips"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%a%' AND p_type = (SELECT min(p_type) FROM part) AND p_brand = (SELECT max(p_brand) FROM part WHERE p_type = (SELECT min(p_type) FROM part)) ORDER BY p_name, p_partkey LIMIT 20")
+def symbol_search_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name search with equal type and language."""
+    parts = table(spark, sf_dir, "part")
+    kind = parts.agg(F.min("p_type")).first()[0]
+    brand = parts.where(F.col("p_type") == kind).agg(F.max("p_brand")).first()[0]
+    found = parts.where(text.like_any_case(F.col("p_name"), F.lit("A"))).where((F.col("p_type") == kind) & (F.col("p_brand") == brand))
+    return found.orderBy("p_name", "p_partkey").limit(20).select("p_partkey", "p_name")
+
+
+@query(f"WITH {MEMORIES} SELECT id, category FROM m WHERE lower(content) LIKE '%e%' AND (access_count = 1 OR category = 'system') ORDER BY updated_at DESC, id LIMIT 25")
+def memory_retrieve_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories with any of two tags."""
+    tagged = _memories(spark, sf_dir).withColumn("tags", F.array(F.concat(F.lit("n"), "access_count"), F.col("category")))
+    return memory.retrieve(tagged, "E", tags=["n1", "system"], limit=25).select("id", "category")
+
+
+@query(f"WITH {EDGES_SQL} SELECT src, dst, type FROM e WHERE type = 'extends' AND (dst = 'n1' OR src = 'n1')")
+def relationship_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.lookup(_edges(spark, sf_dir), "n1", "extends").select("src", "dst", "type")
+
+
+@query("SELECT p_brand AS file_path, p_name AS name, p_size AS line_start, p_partkey AS id FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) ORDER BY p_size, p_partkey LIMIT 100")
+def symbols_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first symbols of one file by line."""
+    parts = table(spark, sf_dir, "part")
+    rows = parts.where(F.col("p_brand") == parts.agg(F.min("p_brand")).first()[0])
+    return rows.select(F.col("p_brand").alias("file_path"), F.col("p_name").alias("name"), F.col("p_size").alias("line_start"), F.col("p_partkey").alias("id")).orderBy("line_start", "id").limit(100)

@@ -1,14 +1,19 @@
-"""BM25 ranking over a table of texts; queries are a table, too, so a batch of searches is one job."""
+"""BM25 ranking over a table of texts by an inverted index, stored or not; queries are a table, too, so a
+batch of searches is one job."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokenize
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
+#: Up to so many asked terms are pushed down to the scans of a stored index.
+FEW_TERMS = 200
 
 
 def corpus(docs: DataFrame, id_col: str, text_col: str, max_docs: int | None = None, max_tokens: int | None = None) -> DataFrame:
@@ -35,22 +40,74 @@ def inverse_frequencies(tokens: DataFrame, n: int) -> DataFrame:
     return df.join(mean).select("term", "df", F.when(raw_idf(n) < 0, FLOOR * F.col("mean")).otherwise(raw_idf(n)).alias("idf"))
 
 
-def search(tokens: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """postings (term, id, tf, dl), terms (term, df, cf, idf), number of texts and their mean length."""
+
+    postings: DataFrame
+    terms: DataFrame
+    n: int
+    mean_length: float
+
+
+def postings_of(tokens: DataFrame) -> DataFrame:
+    """term, id, tf, dl and the other columns of tokens (id, tokens, ...)."""
+    keep = [c for c in tokens.columns if c not in ("id", "tokens")]
+    each = tokens.select("id", *keep, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    return each.groupBy("term", "id", "dl", *keep).agg(F.count(F.lit(1)).alias("tf"))
+
+
+def terms_of(postings: DataFrame, n: int) -> DataFrame:
+    """term, df, cf, idf of postings of n texts."""
+    each = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    mean = F.broadcast(each.agg(F.avg(raw_idf(n)).alias("mean")))  # one row; the counts' exchange is reused
+    return each.join(mean).select("term", "df", "cf", F.when(raw_idf(n) < 0, FLOOR * F.col("mean")).otherwise(raw_idf(n)).alias("idf"))
+
+
+def index_of(tokens: DataFrame) -> Index:
+    """An index that is computed where it is read; `write_index` stores it."""
+    n, total = tokens.agg(F.count(F.lit(1)), F.sum(F.size("tokens"))).first()
+    postings = postings_of(tokens)
+    return Index(postings, terms_of(postings, n), n, (total / n if n and total else 0.0) or 1.0)
+
+
+def by_term(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows laid out by term, so that a reader skips the parts of other terms; a frequent term is spread by the further columns."""
+    return rows.repartitionByRange("term", *more).sortWithinPartitions("term", *more)
+
+
+def write_index(tokens: DataFrame, path: str) -> None:
+    spark = tokens.sparkSession
+    n, total = tokens.agg(F.count(F.lit(1)), F.sum(F.size("tokens"))).first()
+    by_term(postings_of(tokens), "id").write.mode("overwrite").parquet(f"{path}/postings")
+    by_term(terms_of(spark.read.parquet(f"{path}/postings"), n)).write.mode("overwrite").parquet(f"{path}/terms")
+    spark.createDataFrame([(n, (total / n if n and total else 0.0) or 1.0)], "n long, mean_length double").coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    n, mean_length = spark.read.parquet(f"{path}/size").first()
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), n, mean_length)
+
+
+def search_index(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, id, score (best of a query is 1) of the k best per query; ties by id.
 
-    queries: query_id, text. A repeated word of a query counts once. Only tokens that some query holds
-    are aggregated; rows without a positive score are left out.
+    queries: query_id, text. A repeated word of a query counts once; rows without a positive score are
+    left out. Up to FEW_TERMS asked terms are a filter of the scans, more a join. A query's best score is an
+    aggregate, and its rows are cut to k before they meet in one task.
     """
-    n, total = tokens.agg(F.count(F.lit(1)), F.sum(F.size("tokens"))).first()
-    mean_length = (total / n if n and total else 0.0) or 1.0
     asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
-    terms = asked.select("term").distinct()
-    idf = inverse_frequencies(tokens, n).join(terms, "term", "left_semi")
-    found = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
-    found = found.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean_length))
-    scored = found.join(idf, "term").select("id", "term", weight.alias("w")).join(asked, "term").groupBy("query_id", "id").agg(F.sum("w").alias("raw"))
-    best = F.max("raw").over(Window.partitionBy("query_id"))
-    scored = scored.withColumn("best", best).where((F.col("best") > 0) & (F.col("raw") > 0)).select("query_id", "id", F.round(F.col("raw") / F.col("best"), 6).alias("score"))
+    few = [r[0] for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+    held = lambda df: df.where(F.col("term").isin(few)) if len(few) <= FEW_TERMS else df.join(asked.select("term").distinct(), "term", "left_semi")
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / index.mean_length))
+    found = held(index.postings.select("term", "id", "tf", "dl")).join(held(index.terms.select("term", "idf")), "term")
+    scored = found.select("id", "term", weight.alias("w")).join(asked, "term").groupBy("query_id", "id").agg(F.sum("w").alias("raw"))
+    best = scored.groupBy("query_id").agg(F.max("raw").alias("best")).where("best > 0")
+    scored = scored.join(best, "query_id").where("raw > 0").select("query_id", "id", F.round(F.col("raw") / F.col("best"), 6).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def search(tokens: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """search_index over an index of tokens (id, tokens) that isn't stored."""
+    return search_index(index_of(tokens), queries, k)

@@ -30,13 +30,14 @@ def retrieve(memories: DataFrame, query: str, category: str | None = None, tags:
 
 def evicted(memories: DataFrame, per_category: int = MAX_PER_CATEGORY) -> DataFrame:
     """Memories beyond the cap of their category: least accessed first, then longest not updated."""
-    w = Window.partitionBy("category")
-    ranked = memories.withColumns({"_n": F.row_number().over(w.orderBy("access_count", "updated_at", "id")), "_all": F.count(F.lit(1)).over(w)})
-    return ranked.where(F.col("_n") <= F.col("_all") - per_category).drop("_n", "_all")
+    size = memories.groupBy("category").agg((F.count(F.lit(1)) - per_category).alias("_over")).where("_over > 0")
+    ranked = memories.join(F.broadcast(size), "category")  # only the few categories beyond the cap are ranked at all
+    ranked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("category").orderBy("access_count", "updated_at", "id")))
+    return ranked.where(F.col("_n") <= F.col("_over")).select(*memories.columns)
 
 
-def stale(memories: DataFrame, now, days: int = STALE_DAYS, keep_accessed: int = KEEP_ACCESSED) -> DataFrame:
-    return memories.where((F.col("updated_at") < now - F.expr(f"interval {days} days")) & (F.col("access_count") < keep_accessed))
+def stale(memories: DataFrame, now, days: float = STALE_DAYS, keep_accessed: int = KEEP_ACCESSED) -> DataFrame:
+    return memories.where((F.col("updated_at") < now - F.expr(f"interval {round(days * 86400)} seconds")) & (F.col("access_count") < keep_accessed))
 
 
 def listed(memories: DataFrame, category: str | None = None, limit: int = 50) -> DataFrame:

@@ -20,6 +20,10 @@ SYMBOLS = "file_path string, parent_name string, name string, qualified_name str
 CHUNKS = "id string, file_id string, file_path string, symbol_id string, content string, content_masked string, language string, symbol_name string, symbol_type string, line_start int, line_end int, hash string, token_count int, chunk_index int"
 RELATIONSHIPS = "source_symbol_id string, source_file_path string, target_symbol_id string, target_name string, relationship_type string, confidence double, origin string, seq long, id string"
 VECTORS = "id string, embedding array<float>, language string, file_path string"
+EDGES = "src string, dst string, type string, confidence double"
+POSTINGS = "term string, id string, tf long, dl int, file_path string"
+TERMS = "term string, df long, cf long, idf double"
+LENGTHS = "id string, dl int, file_path string"
 SNIPPET, LONG_SNIPPET = 1000, 2000
 
 
@@ -48,7 +52,12 @@ class Engine:
         return self.store.read("vectors", VECTORS)
 
     def edges(self) -> DataFrame:
-        return graph.edges_of(graph.resolve(self.relationships(), graph.name_index(self.symbols())))
+        return self.store.read("edges", EDGES)
+
+    def text_index(self) -> bm25.Index:
+        """The stored inverted index of the chunks."""
+        n, mean_length = self.store.read("lengths", LENGTHS).agg(F.count(F.lit(1)), F.avg("dl")).first()
+        return bm25.Index(self.store.read("postings", POSTINGS), self.store.read("terms", TERMS), n, mean_length or 1.0)
 
     # ------------------------------------------------------------ indexing
 
@@ -77,8 +86,15 @@ class Engine:
         inferred = inference.infer(all_symbols, scanned.select("path", "source"))
         columns = [x.split(" ")[0] for x in RELATIONSHIPS.split(", ")]
         rel = graph.last_wins(old_rel.select(*columns).unionByName(parsed_rel.select(*columns)).unionByName(inferred.select(*columns)), "id", "seq")
+        counted = made.select("id", X.tokenize(F.coalesce("content", F.lit(""))).alias("tokens"), "file_path")
+        postings = self.store.replace_rows("postings", POSTINGS, file_gone, bm25.postings_of(counted).select("term", "id", "tf", "dl", "file_path"), "file_path").persist()
+        lengths = self.store.replace_rows("lengths", LENGTHS, file_gone, counted.select("id", F.size("tokens").alias("dl"), "file_path"), "file_path").persist()
         self.store.commit(
             {
+                "postings": bm25.by_term(postings, "id"),
+                "terms": bm25.by_term(bm25.terms_of(postings, lengths.count())),
+                "lengths": lengths,
+                "edges": graph.edges_of(graph.resolve(rel, graph.name_index(all_symbols))),
                 "files": self.store.replace_rows("files", FILES, path_gone, new_files.select(*[x.split(" ")[0] for x in FILES.split(", ")]), "path"),
                 "symbols": all_symbols,
                 "chunks": self.store.replace_rows("chunks", CHUNKS, file_gone, made, "file_path"),
@@ -88,7 +104,7 @@ class Engine:
         )
         failed = parsed.where(F.size("errors") > 0).count()
         out = {s: count.get(s, 0) for s in ("new", "modified", "unchanged", "deleted")} | {"scanned": scanned.count(), "indexed": sources.count(), "with_errors": failed, "symbols": symbols.count(), "chunks": made.count()}
-        for df in (scanned, status, sources, parsed, symbols, made, all_symbols):
+        for df in (scanned, status, sources, parsed, symbols, made, all_symbols, postings, lengths):
             df.unpersist()
         return out
 
@@ -104,7 +120,7 @@ class Engine:
         where = F.col("language") == language if language in known else None
         query = self.spark.createDataFrame([(0, text)], "query_id long, text string")
         sem = vectors.topk(self.vectors(), embedding.embed_query(text, self.embedder), n, where).select(F.lit(0).cast("long").alias("query_id"), "id", "score")
-        bm = bm25.search(bm25.corpus(chunks, "id", "content"), query, n)
+        bm = bm25.search_index(self.text_index(), query, n)
         symbols = self.symbols().select(F.col("id").alias("symbol_id"), "name", F.col("file_path").alias("file"))
         sy = hybrid.symbol_leg(query, symbols, chunks.select("id", F.col("file_path").alias("file")))
         ranked = hybrid.fuse({"semantic": sem, "bm25": bm, "symbol": sy}, r.weights(), limit, r.min_score if min_score is None else min_score)
@@ -121,6 +137,15 @@ class Engine:
             found = found if value is None else found.where(F.col(column) == value)
         return found.orderBy("name", "file_path", "line_start", "id").limit(limit)
 
+    def symbols_of_file(self, path: str, limit: int = 1000) -> DataFrame:
+        """Symbols of one file by line."""
+        found = self.symbols().where(F.col("file_path") == path).orderBy("line_start", "id").limit(limit)
+        return found.select("name", "qualified_name", "symbol_type", "line_start", "line_end", "visibility", "id")
+
+    def relationships_of(self, node: str, kind: str | None = None) -> DataFrame:
+        """Edges from or to a symbol id, of one type if given."""
+        return graph.lookup(self.edges(), node, kind)
+
     def read_chunk(self, chunk_id: str) -> DataFrame:
         return self.chunks().where(F.col("id") == chunk_id).select("id", "file_path", "symbol_name", "line_start", "line_end", masking.redact(F.col("content")).alias("content"))
 
