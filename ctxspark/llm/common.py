@@ -19,9 +19,20 @@ from pyspark.sql import functions as F
 _OWN_ROOT: dict[str, str] = {}
 
 
+#: Rows of whole texts that are sent to a Python worker at once.
+BATCH_KEY, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
 def ship(module_name: str) -> None:
-    """Pickle functions of this module by value, so executors need no copy of the package."""
+    """Pickle functions of this module by value, so executors need no copy of the package.
+
+    Every operator that runs Python calls this: it also lowers the rows of an Arrow batch where the session
+    has Spark's default, because batches of whole texts are held several times on either side.
+    """
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
 
 
 def scratch_root(spark: SparkSession) -> str:

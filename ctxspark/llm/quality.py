@@ -74,10 +74,10 @@ def chain_features(own: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.concatenate((np.ones((n, 1)), own, before, after), 1)
 
 
-def marginals(good: np.ndarray, transition: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def marginals(good: np.ndarray, transition: np.ndarray, starts: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """P(line is good), and the expected counts of the transitions, of chains that start at `starts`.
 
-    good: log-odds of each line. All chains advance together, longest first.
+    good: log-odds of each line; weight: of each line's transition from the line before, 1 without it. All chains advance together, longest first.
     """
     n, ends = len(good), np.concatenate((starts[1:], [len(good)]))
     sizes = ends - starts
@@ -105,7 +105,8 @@ def marginals(good: np.ndarray, transition: np.ndarray, starts: np.ndarray) -> t
     inner[starts] = False
     at = np.flatnonzero(inner)
     joint = alpha[at - 1][:, :, None] * move * (beta[at] * emit[at])[:, None, :]
-    return p[:, 1], (joint / joint.sum((1, 2), keepdims=True)).sum(0) if len(at) else np.zeros((2, 2))
+    joint = joint / joint.sum((1, 2), keepdims=True) * (1.0 if weight is None else weight[at][:, None, None])
+    return p[:, 1], joint.sum(0) if len(at) else np.zeros((2, 2))
 
 
 def documents_lines(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
@@ -129,22 +130,24 @@ def train_split(doc_id):
 
 
 def fit_chain(texts: list[bytes | None], labels: np.ndarray) -> QualityModel:
-    """Maximum conditional likelihood by Adam; every document weighs the same and so do both classes."""
+    """Maximum weighted conditional likelihood by Adam: a document's chain weighs one over the root of its lines; both classes weigh the same."""
     lines, starts = documents_lines(texts)
     own = line_features(lines)
     mean, scale = own.mean(0), own.std(0) + 1e-6
     x = chain_features((own - mean) / scale, starts)
     sizes = np.diff(np.concatenate((starts, [len(lines)])))
     y = np.repeat(labels.astype(float), sizes)
-    n = len(texts)
-    weight = np.repeat(1.0 / np.sqrt(sizes), sizes) / n
-    same = [(sizes[labels == v] - 1).sum() / len(lines) for v in (0, 1)]
+    own_weight = 1.0 / np.sqrt(sizes)
+    for v in (0, 1):
+        own_weight[labels == v] *= 0.5 / max(own_weight[labels == v].sum(), 1e-9)
+    weight = np.repeat(own_weight, sizes)
+    same = [(own_weight * (sizes - 1))[labels == v].sum() for v in (0, 1)]
     w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     for step in range(1, STEPS + 1):
-        p, moves = marginals(x @ w, trans, starts)
+        p, moves = marginals(x @ w, trans, starts, weight)
         g_w = x.T @ ((p - y) * weight) + RIDGE * w
-        g_t = moves / len(lines) - np.diag(same) + RIDGE * 10 * trans
+        g_t = moves - np.diag(same) + RIDGE * 10 * trans
         g = np.concatenate((g_w, g_t.ravel()))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -155,7 +158,7 @@ def fit_chain(texts: list[bytes | None], labels: np.ndarray) -> QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, train=train_split) -> QualityModel:
     """Fit on at most about TRAIN_DOCS labelled rows for which train(doc_id) holds; whole texts.
 
-    Without usable labels of both kinds every text scores one half.
+    Without usable labels of both kinds every text scores one half. A document with both labels is good.
     """
     with Scratch(docs.sparkSession) as scratch:
         known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(train(F.col("doc_id")))

@@ -20,7 +20,7 @@ from .sentencepiece_sa import encode as sp_encode
 from .sentencepiece_sa import load as sp_load
 from .toxicity import fit as fit_toxicity
 from .toxicity import score_toxicity
-from .url_rules import judge
+from .url_rules import host_of, judge, path_of, written_rule
 
 #: Written URL rules of op5: host, path, verdict.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -61,12 +61,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page shows the document whose number ends its path: that document's label marks its url."""
+    """Urls are labelled by the written rule that fits, else by the document whose number ends the path; rules mined from these judge the others."""
     pages = _table(spark, sf_dir, "pages")
     bad = _table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     number = F.regexp_extract("url", r"(?s)^.*?://[^?#]*/([0-9]{1,18})(?:/|\.html)?(?:[?#]|$)", 1)
     shown = pages.select("url", number.alias("number")).select("url", F.expr("try_cast(number as bigint)").alias("doc_id"))
-    return judge(pages, shown.join(bad, "doc_id").select("url", "bad"), URL_RULES).drop("mined")
+    written = written_rule(host_of(F.col("url")), path_of(F.col("url")), URL_RULES)[1]
+    said = pages.select("url", (written == "block").alias("bad")).where("bad is not null")
+    rest = shown.join(bad, "doc_id").where(written.isNull()).select("url", "bad")
+    return judge(pages, said.union(rest), URL_RULES)
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

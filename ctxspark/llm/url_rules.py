@@ -20,7 +20,7 @@ TRAIN_URLS = 200_000
 #: Labelled URLs that a rule's tokens and label must have in common, at least; and at least this share.
 SUPPORT = 20
 SUPPORT_SHARE = 0.0005
-CONFIDENCE = 0.6
+CONFIDENCE = 0.8
 LIFT = 1.5
 BAD = "=bad"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
