@@ -66,24 +66,28 @@ class Scratch:
         for path in self._paths:
             self._delete(path)
         self._paths.clear()
+        free_shuffles(self.spark)
 
     def _delete(self, path: str) -> None:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
-    def _write(self, df: DataFrame, tag: str) -> tuple[str, DataFrame]:
-        path = f"{scratch_root(self.spark)}/{tag}-{uuid.uuid4().hex}"
+    def _path(self, tag: str) -> str:
+        return f"{scratch_root(self.spark)}/{tag}-{uuid.uuid4().hex}"
+
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
         df.write.parquet(path)
-        return path, self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def keep(self, df: DataFrame, tag: str) -> DataFrame:
-        path, out = self._write(df, tag)
-        self._paths.add(path)
+        path = self._path(tag)
+        self._paths.add(path)  # also deleted if the write fails
+        out = self._write(df, path)
         out._scratch_path = path
         return out
 
     def result(self, df: DataFrame, tag: str) -> DataFrame:
-        return self._write(df, tag)[1]
+        return self._write(df, self._path(tag))
 
     def drop(self, *dfs: DataFrame | None) -> None:
         for df in dfs:
@@ -94,8 +98,9 @@ class Scratch:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that are no longer referenced."""
+    """Let Spark's cleaner delete the shuffle files of plans that are no longer referenced, and the driver give memory back."""
     gc.collect()
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -157,3 +162,8 @@ def slices(batch, column: int, rows: int = 1024, size: int = 2_000_000):
         yield batch.slice(at, n)
         at += n
     trim()
+
+
+def pruning(keys: DataFrame, most: int = 500_000) -> DataFrame:
+    """Keys of a join, to be broadcast if there are at most so many rows (of a few bytes each); above, it is a shuffled join."""
+    return F.broadcast(keys) if keys.count() <= most else keys

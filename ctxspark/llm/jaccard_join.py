@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, components, free_shuffles, ship, slices
+from .common import Scratch, components, free_shuffles, pruning, ship, slices
 
 WORDS = 5
 NUM, DEN = 75, 100
@@ -357,4 +357,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     ids = F.col("doc_id").cast("long")
     found = jaccard_components(docs).where("doc_id is not null and n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
     framed = docs.select(F.struct(*[docs[c] for c in cols]).alias("row"), ids.alias("doc_id"))
-    return framed.join(found, "doc_id", "left_anti").select("row.*")
+    return framed.join(pruning(found), "doc_id", "left_anti").select("row.*")

@@ -213,8 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, train=train_split) -> ToxicityModel:
         prior = F.lit(PRIOR) * (y1 + y0) / F.lit(max(t1 + t0, 1.0)) + F.lit(BASE)
         odds = F.log((y1 + prior) / F.lit(t1 + PRIOR)) - F.log((y0 + prior) / F.lit(t0 + PRIOR))
         doubt = F.lit(CONFIDENCE) * F.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
-        rows = counts.select("word", F.when(odds > doubt, F.least(F.lit(MOST), odds - doubt)).when(odds < -doubt, F.lit(REST) + odds + doubt).alias("score")).where("score is not null").collect()  # words of a bounded sample
-        model = ToxicityModel({bytes(r["word"]): float(r["score"]) for r in rows}, REST, 1.0, 1.0, 0.0, -30.0)
+        rows = counts.select("word", F.when(odds > doubt, F.least(F.lit(MOST), odds - doubt)).when(odds < -doubt, F.lit(REST) + odds + doubt).alias("score")).where("score is not null").toArrow()  # words of a bounded sample
+        model = ToxicityModel(dict(zip(map(bytes, rows.column("word").to_pylist()), rows.column("score").to_pylist(), strict=True)), REST, 1.0, 1.0, 0.0, -30.0)
         best = sample.where("held_back and toxic = 0").select("text").mapInArrow(_best_rows(model), "n long, best double").where("n > 0").toPandas()
         over = best["best"][best["best"] >= LEAST]
         # exceedances of the law are exponential; one pseudo-observation keeps both estimates finite
