@@ -104,6 +104,12 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def settle(spark: SparkSession) -> None:
+    """Have executors collect garbage now: a JVM gives heap back to the system only then, and Python workers beside it need the memory."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds over DataFrames.
 

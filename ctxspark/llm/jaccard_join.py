@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, components, free_shuffles, pruning, ship, slices
+from .common import Scratch, components, free_shuffles, pruning, settle, ship, slices
 
 WORDS = 5
 NUM, DEN = 75, 100
@@ -303,6 +303,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ship(__name__)
     ship(f"{__package__}.common")
     spark = docs.sparkSession
+    settle(spark)
     with Scratch(spark) as scratch:
         found = scratch.keep(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scan, ROW), "shingles")
         count = found.where("n = -1").select("doc_id", F.posexplode("counts").alias("i", "c")).groupBy((F.col("doc_id") + F.col("i")).alias("i")).agg(F.sum("c").alias("c"))
@@ -324,6 +325,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             found_links = _pair_links(stars, sets, levels, scratch)
             links = found_links if links is None else links.union(found_links)
             groups = scratch.keep(components(links, scratch), "groups")
+        settle(spark)
         posts = sets.drop("bits").mapInArrow(_postings(levels), "token long, k long, n long").repartition("token")
         several = posts.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("token").hint("shuffle_hash")
         shared = scratch.keep(posts.join(several, "token", "left_semi"), "shared")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, slices
+from .common import settle, ship, slices
 
 BLANK = "▁"
 #: Units of more symbols than this are relaxed with a heap of their own instead of in step with others.
@@ -396,6 +396,7 @@ def with_ids(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """All columns of docs and token_ids (in place of a column of that name). Null and empty texts have no ids."""
     ship(__name__)
     ship(f"{__package__}.common")
+    settle(docs.sparkSession)
     kept = [docs[c] for c in docs.columns if c != "token_ids"]
     rows = docs.select(F.struct(*kept).alias("row"), docs["text"].cast("string").alias("text"))
     out = T.StructType([rows.schema["row"], T.StructField("token_ids", T.ArrayType(T.IntegerType()))])

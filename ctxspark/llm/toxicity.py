@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship, slices
+from .common import Scratch, settle, ship, slices
 
 #: At most about so many labelled documents are used to fit the model (a hash of doc_id chooses them).
 TRAIN_DOCS = 50_000
@@ -192,6 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, train=train_split) -> ToxicityModel:
     """
     ship(__name__)
     ship(f"{__package__}.common")
+    settle(docs.sparkSession)
     with Scratch(docs.sparkSession) as scratch:
         known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(train(F.col("doc_id")))
         known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
