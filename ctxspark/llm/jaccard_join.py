@@ -175,6 +175,23 @@ def _postings(levels: np.ndarray):
     return run
 
 
+def _shared(batches):
+    """Of rows (token, k, n) sorted by token, those of tokens that several classes have; a class's row may come once for several."""
+    mixed, held = None, None  # the last token, if it has several classes; else a row of its only class
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token, k, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if held is not None:
+            token, k, n = (np.concatenate(([x], y)) for x, y in zip(held, (token, k, n), strict=True))
+        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        several = np.minimum.reduceat(k, starts) < np.maximum.reduceat(k, starts)
+        several[0] |= token[0] == mixed
+        mixed, held = (token[-1], None) if several[-1] else (None, (token[-1], k[-1], n[-1]))
+        keep = np.repeat(several, np.diff(np.append(starts, len(token))))
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, k, n)], names=["token", "k", "n"])
+
+
 def linked(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, levels: np.ndarray) -> bool:
     """Filters under all orders, then the exact test."""
     for seed in ORDERS:
@@ -324,15 +341,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             stars = scratch.keep(stars.select(F.col("rep.k").alias("a"), F.col("k").alias("b")).distinct(), "stars")
             found_links = _pair_links(stars, sets, levels, scratch)
             links = found_links if links is None else links.union(found_links)
-            groups = scratch.keep(components(links, scratch), "groups")
+            scratch.drop(stars)
+            previous, groups = groups, scratch.keep(components(links, scratch), "groups")
+            scratch.drop(previous)
+        scratch.drop(classes)
         settle(spark)
-        posts = sets.drop("bits").mapInArrow(_postings(levels), "token long, k long, n long").repartition("token")
-        several = posts.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("token").hint("shuffle_hash")
-        shared = scratch.keep(posts.join(several, "token", "left_semi"), "shared")
+        posts = sets.drop("bits").mapInArrow(_postings(levels), "token long, k long, n long").repartition("token").sortWithinPartitions("token")
+        shared = scratch.keep(posts.mapInArrow(_shared, "token long, k long, n long"), "shared")
         free_shuffles(spark)
         placed = shared.distinct().join(groups.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
         mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
         placed = scratch.keep(placed.join(mixed, "token", "left_semi"), "placed")
+        scratch.drop(shared)
+        free_shuffles(spark)
         crowd = placed.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > CROWD).select("token")
         light = placed.join(crowd, "token", "left_anti")
         x, y = (light.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("k", "n", "comp")]) for s in "ab")
