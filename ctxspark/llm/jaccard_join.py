@@ -39,8 +39,14 @@ PARITY_BITS = 2048
 STAR_ROUNDS = ((0,), (1,), (2, 3), (0, 1, 2, 3))
 #: Up to so many class keys (8 bytes each) a set of keys is broadcast to prune a scan; above, it is a shuffled join.
 BROADCAST_KEYS = 500_000
+#: Up to so many classes with their components (16 bytes each) are broadcast, so that postings carry components and packed sets aren't shuffled.
+BROADCAST_GROUPS = 2_000_000
 #: A prefix token of more classes than CROWD is compared in tiles of blocks of about TILE classes.
 CROWD, TILE = 48, 1024
+#: Postings are shuffled in so many turns, of a part of the tokens each: only a part of them is on disk at once.
+TURNS = 3
+#: Up to so many of a token's rows of one component are held to see whether another component has it.
+MOST_HELD = 500_000
 #: So many of a class's crowded tokens tell tiles which pairs another one has.
 LOW_TOKENS = 64
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -49,6 +55,7 @@ ROW = T.StructType(
     + [T.StructField(f"m{i}", T.LongType()) for i in range(len(SEEDS))]
     + [T.StructField("packed", T.BinaryType()), T.StructField("bits", T.BinaryType()), T.StructField("counts", T.ArrayType(T.IntegerType()))]
 )
+POSTING = "token long, comp long, k long, n long"
 
 
 class WordHashes(dict):
@@ -163,33 +170,51 @@ def _scan(batches):
         yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([-1], pa.int64()), *[pa.array([0], pa.int64())] * (1 + len(SEEDS)), *[pa.array([None], pa.binary())] * 2, row], schema=schema)
 
 
-def _postings(levels: np.ndarray):
+def _postings(levels: np.ndarray, turn: int):
+    """Prefix tokens (token, comp, k, n) of rows (k, n, packed, comp) that are for this turn."""
+
     def run(batches):
         for batch in batches:
             for part in map(pa.RecordBatch.to_pydict, slices(batch, 2)):
                 tokens = [prefix(unpack(x), n, levels, ORDERS[0]) for x, n in zip(part["packed"], part["n"], strict=True)]
+                tokens = [t[t % np.uint64(TURNS) == turn] for t in tokens]
                 if tokens:
                     sizes = [len(t) for t in tokens]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.repeat(np.array(part["k"], np.int64), sizes)), pa.array(np.repeat(np.array(part["n"], np.int64), sizes))], names=["token", "k", "n"])
+                    rows = [np.repeat(np.array(part[c], np.int64), sizes) for c in ("comp", "k", "n")]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), *map(pa.array, rows)], names=["token", "comp", "k", "n"])
 
     return run
 
 
 def _shared(batches):
-    """Of rows (token, k, n) sorted by token, those of tokens that several classes have; a class's row may come once for several."""
-    mixed, held = None, None  # the last token, if it has several classes; else a row of its only class
+    """Of rows (token, class or component, ...) sorted by all columns, the distinct ones of tokens that several classes or components have.
+
+    A token's rows are held until it shows a second component; of one with very many rows they're let through.
+    """
+    held, count, mixed, last = [], 0, False, None  # of the last token: rows held, how many, whether its rows go out; its last row
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, k, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        if held is not None:
-            token, k, n = (np.concatenate(([x], y)) for x, y in zip(held, (token, k, n), strict=True))
-        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        several = np.minimum.reduceat(k, starts) < np.maximum.reduceat(k, starts)
-        several[0] |= token[0] == mixed
-        mixed, held = (token[-1], None) if several[-1] else (None, (token[-1], k[-1], n[-1]))
-        keep = np.repeat(several, np.diff(np.append(starts, len(token))))
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, k, n)], names=["token", "k", "n"])
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        before = rows[:, :-1] if last is None else np.concatenate((last, rows[:, :-1]), 1)
+        new = (rows[:, rows.shape[1] - before.shape[1] :] != before).any(0)
+        previous, last, rows = last, rows[:, -1:], rows[:, np.concatenate(([True], new)) if last is None else new]
+        if not rows.shape[1]:
+            continue
+        starts = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
+        several = np.minimum.reduceat(rows[1], starts) < np.maximum.reduceat(rows[1], starts)
+        out = []
+        if previous is not None and previous[0, 0] == rows[0, 0]:
+            several[0] |= mixed or previous[1, 0] != rows[1, 0] or count > MOST_HELD
+            out = held if several[0] else []
+        if several[0] or len(starts) > 1 or previous is None or previous[0, 0] != rows[0, 0]:
+            held, count = [], 0
+        mixed = bool(several[-1])
+        if not mixed:
+            held = [*held, rows[:, starts[-1] :]]
+            count += rows.shape[1] - int(starts[-1])
+        out = np.concatenate([*out, rows[:, np.repeat(several, np.diff(np.append(starts, rows.shape[1])))]], 1)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=batch.schema.names)
 
 
 def linked(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, levels: np.ndarray) -> bool:
@@ -322,7 +347,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     settle(spark)
     with Scratch(spark) as scratch:
-        found = scratch.keep(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scan, ROW), "shingles")
+        found = scratch.keep(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scan, ROW), "shingles", "zstd")
         count = found.where("n = -1").select("doc_id", F.posexplode("counts").alias("i", "c")).groupBy((F.col("doc_id") + F.col("i")).alias("i")).agg(F.sum("c").alias("c"))
         levels = np.zeros(1 << SKETCH_BITS, np.uint8)  # 2^18 counters at any input size
         for row in count.where("c > 0").toLocalIterator():
@@ -346,21 +371,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             scratch.drop(previous)
         scratch.drop(classes)
         settle(spark)
-        posts = sets.drop("bits").mapInArrow(_postings(levels), "token long, k long, n long").repartition("token").sortWithinPartitions("token")
-        shared = scratch.keep(posts.mapInArrow(_shared, "token long, k long, n long"), "shared")
-        free_shuffles(spark)
-        placed = shared.distinct().join(groups.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
-        mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        placed = scratch.keep(placed.join(mixed, "token", "left_semi"), "placed")
-        scratch.drop(shared)
+        named = groups.withColumnRenamed("node", "k")
+        if few := groups.count() <= BROADCAST_GROUPS:
+            own = sets.drop("bits").join(F.broadcast(named), "k", "left")
+        else:  # then a token's rows are told apart by class, and joined with their components after
+            own = sets.drop("bits").withColumn("comp", F.lit(None).cast("long"))
+        own = own.select("k", "n", "packed", F.coalesce("comp", "k").alias("comp"))
+        parts = []
+        for turn in range(TURNS):
+            posts = own.mapInArrow(_postings(levels, turn), POSTING).repartition("token").sortWithinPartitions("token", "comp", "k")
+            parts.append(scratch.keep(posts.mapInArrow(_shared, POSTING), "placed"))
+            free_shuffles(spark)
+        placed = spark.read.schema(POSTING).parquet(*[p._scratch_path for p in parts])
+        if not few:
+            placed = scratch.keep(placed.drop("comp").join(named, "k", "left").withColumn("comp", F.coalesce("comp", "k")), "placed")
+            free_shuffles(spark)
+        crowd = placed.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("many") > CROWD)
+        crowd = scratch.keep(crowd.select("token", (F.col("lo") < F.col("hi")).alias("mixed")), "crowded")
         free_shuffles(spark)
-        crowd = placed.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > CROWD).select("token")
-        light = placed.join(crowd, "token", "left_anti")
+        light = placed.join(pruning(crowd.select("token")), "token", "left_anti")
+        crowd = crowd.where("mixed").select("token")
         x, y = (light.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("k", "n", "comp")]) for s in "ab")
         pairs = x.join(y, "token").where("k_a < k_b and comp_a <> comp_b").where(fits("n_a", "n_b"))
         least = F.lit(1) + F.floor(F.least(F.min("n_a"), F.min("n_b")) / 64)
         pairs = pairs.groupBy(F.col("k_a").alias("a"), F.col("k_b").alias("b")).agg((F.count(F.lit(1)) >= least).alias("enough")).where("enough").select("a", "b")
-        pairs = pairs.union(_crowded_pairs(placed.join(crowd, "token", "left_semi"), sets, scratch)).distinct()
+        pairs = pairs.union(_crowded_pairs(placed.join(pruning(crowd), "token", "left_semi"), sets, scratch)).distinct()
         more = _pair_links(scratch.keep(pairs, "pairs"), sets, levels, scratch)
         ends = scratch.keep(components(links.union(more), scratch), "ends")
         named = rows.select("doc_id", "n", "k").join(ends.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
