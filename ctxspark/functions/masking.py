@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,27 +31,71 @@ def enabled_rules(disabled: set[str] = OFF_BY_DEFAULT) -> list[tuple[str, str, s
     return [r for r in RULES if r[0] not in disabled]
 
 
+#: What any match of a rule holds, as tests that cost less than the rule. They are made on the text before the first rule: a
+#: placeholder holds no part of a later rule's match, so such a match stands between placeholders, in the text as it was.
+_DIGITS = r"[0-9]{3}(?:[-.\s]?[0-9]{4}|-[0-9]{2}-[0-9]{4})"
+_WORDS = {"jwts": ("eyj",), "api_keys": ("key", "secret", "token"), "access_tokens": ("token",)}
+_SIGNS = {"signed_urls": "://", "emails": "@"}
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _hints(text: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """For each rule, whether the text may hold a match of it; null for a null text."""
+    def each(low: Column, digits: Column) -> Column:
+        found = []
+        for name, _, _ in rules:
+            if name in _WORDS:
+                found.append(functools.reduce(Column.__or__, [low.contains(w) for w in _WORDS[name]]))
+            elif name in _SIGNS:
+                found.append(text.contains(_SIGNS[name]))
+            else:
+                found.append(F.lit(True) if name == "ips" else digits)
+        return F.array(*found)
+
+    return _let(F.lower(text), lambda low: _let(text.rlike(_DIGITS), lambda digits: each(low, digits)))
+
+
+def _folded(text: Column, disabled: set[str]) -> Column:
+    """text (masked) and counts (of each enabled rule) of a text."""
+    rules = enabled_rules(disabled)
+
+    def apply(state: Column, i: int, hints: Column) -> Column:
+        pattern, placeholder = F.lit("(?i)" + rules[i][1]), F.lit(rules[i][2])
+
+        def replaced(s: Column, n: Column) -> Column:
+            return F.struct(F.when(n > 0, F.regexp_replace(s["text"], pattern, placeholder)).otherwise(s["text"]).alias("text"), F.concat(s["counts"], F.array(n)).alias("counts"))
+
+        return _let(state, lambda s: _let(F.when(~hints[i], 0).otherwise(F.regexp_count(s["text"], pattern)), lambda n: replaced(s, n)))
+
+    def fold(t: Column, hints: Column) -> Column:
+        state = F.struct(t.alias("text"), F.array().cast("array<int>").alias("counts"))
+        for i in range(len(rules)):
+            state = apply(state, i, hints)
+        return state
+
+    return _let(text, lambda t: _let(_hints(t, rules), lambda hints: fold(t, hints)))
+
+
 def mask(text: Column, disabled: set[str] = OFF_BY_DEFAULT) -> Column:
-    for _, pattern, placeholder in enabled_rules(disabled):
-        text = F.regexp_replace(text, F.lit("(?i)" + pattern), F.lit(placeholder))
-    return text
+    return _folded(text, disabled)["text"]
 
 
 def mask_counts(text: Column, disabled: set[str] = OFF_BY_DEFAULT) -> dict[str, Column]:
     """Matches of each rule on the text as the rules before it left it, and their total."""
+    found = _folded(text, disabled)["counts"]
     counts = {name: F.lit(0) for name, _, _ in RULES}
-    for name, pattern, placeholder in enabled_rules(disabled):
-        counts[name] = F.regexp_count(text, F.lit("(?i)" + pattern))
-        text = F.regexp_replace(text, F.lit("(?i)" + pattern), F.lit(placeholder))
-    counts["total"] = sum((counts[name] for name, _, _ in RULES), F.lit(0))
+    counts |= {name: found[i] for i, (name, _, _) in enumerate(enabled_rules(disabled))}
+    counts["total"] = F.aggregate(found, F.lit(0), lambda s, n: s + n)
     return counts
 
 
 def contains_pii(text: Column, disabled: set[str] = OFF_BY_DEFAULT) -> Column:
-    found = F.lit(False)
-    for _, pattern, _ in enabled_rules(disabled):
-        found = found | text.rlike("(?i)" + pattern)
-    return found
+    rules = enabled_rules(disabled)
+    return _let(_hints(text, rules), lambda hints: functools.reduce(Column.__or__, [hints[i] & text.rlike("(?i)" + pattern) for i, (_, pattern, _) in enumerate(rules)], F.lit(False)))
 
 
 def redact(text: Column) -> Column:
