@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..streaming.ingest import fresh_folder
+
 #: Queries that are sent to the executors at once.
 BLOCK = 2048
+#: Blocks whose searches are one plan.
+BLOCKS = 16
+#: Vectors that a task scores at once.
+ROWS = 1024
 INDEX_TYPES = ("flat", "hnsw", "ivf")
 
 
@@ -35,17 +43,33 @@ def clamp(score):
 
 
 def _best(ids: list, matrix: np.ndarray, k: int):
+    """The k best (largest score, then smallest id) of each query over all batches of a task; scores of ROWS vectors are held at once."""
+    rows_at_once = ROWS  # executors have no copy of this module
+
+    def merged(held, found):
+        query, score, own = (np.concatenate(x) for x in zip(held, found, strict=True))
+        order = np.lexsort((own, -score, query))
+        query, score, own = query[order], score[order], own[order]
+        first = np.searchsorted(query, query)  # where the query's rows begin
+        keep = np.arange(len(query)) - first < k
+        return query[keep], score[keep], own[keep]
+
     def run(batches):
+        held = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        floor = np.full(len(ids), -np.inf)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = np.asarray(batch.column(0).to_pylist(), object)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            scores = np.round(flat.reshape(batch.num_rows, -1) @ matrix.T, 6)
-            keep = min(k, batch.num_rows)
-            floor = -np.partition(-scores, keep - 1, axis=0)[keep - 1]  # ties at the edge all stay
-            rows, cols = np.nonzero(scores >= floor)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[c] for c in cols], pa.int64()), pa.array(own[rows].tolist(), pa.int64()), pa.array(scores[rows, cols])], names=["query_id", "id", "score"])
+            for at in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(at, rows_at_once)
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                scores = np.round(matrix @ flat.reshape(part.num_rows, -1).T, 6)
+                if part.num_rows > k and not np.isfinite(floor).all():
+                    floor = np.fmax(floor, np.partition(scores, part.num_rows - k, axis=1)[:, part.num_rows - k])
+                rows, cols = np.nonzero(scores >= floor[:, None])  # ties at the edge all stay
+                held = merged(held, (rows, scores[rows, cols], part.column(0).to_numpy(zero_copy_only=False)[cols]))
+                full = np.bincount(held[0], minlength=len(ids)) == k
+                ends = np.searchsorted(held[0], np.arange(len(ids)), side="right")
+                floor[full] = held[1][ends[full] - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(ids, np.int64)[held[0]]), pa.array(held[2]), pa.array(held[1])], names=["query_id", "id", "score"])
 
     return run
 
@@ -53,27 +77,39 @@ def _best(ids: list, matrix: np.ndarray, k: int):
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, id, score of the k largest inner products per query; ties by id.
 
-    vectors: id long, embedding; queries: query_id long, embedding. Each batch of vectors keeps its own k
-    best per query before anything is shuffled. Null embeddings match nothing.
+    vectors: id long, embedding; queries: query_id long, embedding. Each task keeps its own k best per
+    query before anything is shuffled. Null embeddings match nothing. The results of every BLOCKS blocks of
+    queries are written, so that a plan holds no more matrices than these.
     """
+    spark = vectors.sparkSession
     own = vectors.where("embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    parts, block = None, []
+    folder, written, planned, block = f"{fresh_folder(spark)}/knn", 0, [], []
+
+    def ranked() -> DataFrame:
+        parts = functools.reduce(DataFrame.union, planned)
+        rows = parts.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+        return rows.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
-    def flush():
-        nonlocal parts, block
-        if block:
-            found = own.mapInArrow(_best([q for q, _ in block], np.array([v for _, v in block], np.float64), k), "query_id long, id long, score double")
-            parts, block = found if parts is None else parts.union(found), []
+    def plan() -> None:
+        found = _best([q for q, _ in block], np.array([v for _, v in block], np.float64), k)
+        planned.append(own.mapInArrow(found, "query_id long, id long, score double"))
+        block.clear()
 
     for row in queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator():
+        if len(planned) == BLOCKS:
+            ranked().write.parquet(f"{folder}/{written}")
+            written += 1
+            planned.clear()
         block.append((row[0], row[1]))
         if len(block) == BLOCK:
-            flush()
-    flush()
-    if parts is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
-    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+            plan()
+    if block:
+        plan()
+    out = [spark.read.parquet(*[f"{folder}/{i}" for i in range(written)])] if written else []
+    out += [ranked()] if planned else []
+    if not out:
+        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    return functools.reduce(DataFrame.union, out)
 
 
 def topk(vectors: DataFrame, query: list[float], k: int = 10, where=None) -> DataFrame:
