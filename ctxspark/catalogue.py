@@ -81,8 +81,7 @@ cf AS (SELECT term, count(*) AS cf FROM (SELECT unnest(tokens) AS term FROM d) G
 SELECT term, df, cf, round(idf, 6) AS idf FROM idf JOIN cf USING (term)""")
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = bm25.corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
-    n = corpus.count()
-    return bm25.term_stats(corpus).join(bm25.inverse_frequencies(corpus, n).drop("df"), "term").select("term", "df", "cf", F.round("idf", 6).alias("idf"))
+    return bm25.with_idf(bm25.term_stats(corpus), corpus.count()).select("term", "df", "cf", F.round("idf", 6).alias("idf"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
